@@ -35,7 +35,7 @@ def apportion(weights, seats: int, caps) -> np.ndarray:
         if mid <= 0 or mid in (low, high):
             break
         low, high = (mid, high) if take(mid).sum() > seats else (low, mid)
-    n = take(high)
+    n = take(high * (1 + 1e-9))  # equal quotients that rounding would part are left to the queue
     queue = [(-w[i] / (2 * n[i] + 1), -w[i], i) for i in range(len(w)) if n[i] < cap[i]]
     heapq.heapify(queue)
     for _ in range(seats - int(n.sum())):

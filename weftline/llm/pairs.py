@@ -51,26 +51,28 @@ def refuses(answer: str) -> bool:
 
 
 def tiles(a: list[str], b: list[str], least: int = 3) -> int:
-    """Words of a covered by greedy string tiling with b: the longest common runs of unmarked words first, none under `least` words."""
+    """Words of a covered by greedy string tiling with b: the longest common runs of unmarked words first, none under `least` words.
+
+    Runs grow from equal groups of `least` words, from the ends of the texts backwards, so that a round looks at each pair of equal groups once.
+    """
     used_a, used_b = bytearray(len(a)), bytearray(len(b))
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        at.setdefault(w, []).append(j)
+    at: dict[tuple, list[int]] = {}
+    for j in range(len(b) - least + 1):
+        at.setdefault(tuple(b[j : j + least]), []).append(j)
     covered = 0
     while True:
-        best, found = least, []
-        i = 0
-        while i < len(a):
-            if not used_a[i]:
-                for j in at.get(a[i], ()):
-                    k = 0
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                        k += 1
-                    if k > best:
-                        best, found = k, [(i, j)]
-                    elif k == best:
-                        found.append((i, j))
-            i += 1
+        best, found, after = least, [], {}
+        for i in range(len(a) - least, -1, -1):
+            here: dict[int, int] = {}
+            if not any(used_a[i : i + least]):
+                for j in at.get(tuple(a[i : i + least]), ()):
+                    if not any(used_b[j : j + least]):
+                        run = here[j] = after[j + 1] + 1 if j + 1 in after else least
+                        if run > best:
+                            best, found = run, [(i, j)]
+                        elif run == best:
+                            found.append((i, j))
+            after = here
         if not found:
             return covered
         for i, j in found:
@@ -79,6 +81,14 @@ def tiles(a: list[str], b: list[str], least: int = 3) -> int:
                 covered += best
 
 
+def _ends(a: list[str], b: list[str]) -> int:
+    """Words in the common beginning and end of two texts: a tiling by itself, found in one pass."""
+    n = min(len(a), len(b))
+    k = next((i for i in range(n) if a[i] != b[i]), n)
+    m = next((i for i in range(n - k) if a[-1 - i] != b[-1 - i]), n - k)
+    return (k if k >= 3 else 0) + (m if m >= 3 else 0)
+
+
 def copies(question: str, answer: str, share: float = 0.85) -> bool:
     """Whether an answer gives back the question and nothing else: tiles cover `share` of the words of both.
 
@@ -90,7 +100,9 @@ def copies(question: str, answer: str, share: float = 0.85) -> bool:
     both = sum((Counter(q) & Counter(a)).values())
     if both < share * len(q) or both < share * len(a):
         return False
-    n = tiles(a, q)
+    n = _ends(a, q)
+    if n < share * max(len(a), len(q)):
+        n = tiles(a, q)
     return n >= share * len(a) and n >= share * len(q)
 
 
