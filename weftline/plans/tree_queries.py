@@ -81,6 +81,11 @@ SELECT r.id,
   CAST(CASE WHEN r.back THEN r.enters - 1 ELSE r.n END AS BIGINT) AS depth, r.root_id, r.back AND r.enters = 1 AS on_circle,
   CASE WHEN r.back AND r.enters = 1 THEN NULL ELSE coalesce(b.k, 0) END AS n_descendants
 FROM roots r LEFT JOIN below b ON b.id = r.id""",
+    "p3_found": "WITH f AS (" + " UNION ALL ".join(f"SELECT DISTINCT id, '{f}' AS field, {f} AS t FROM lineage_rows WHERE id IS NOT NULL AND {f} IS NOT NULL" for f in FIELDS) + """),
+g AS (SELECT id, field, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END END AS t FROM f),
+h AS (SELECT * FROM g WHERE t IS NOT NULL AND json_valid(t)),
+x AS (SELECT h.id, h.field, e.fullkey, e.type, e.value FROM h, json_tree(h.t) e)
+SELECT DISTINCT id, field || substr(fullkey, 2) AS path FROM x WHERE type = 'OBJECT' AND fullkey LIKE '%]'""",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS},
 up AS (SELECT id, seen[2:CASE WHEN back THEN enters - 1 ELSE len(seen) END] AS ups FROM roots WHERE NOT (back AND enters = 1))
 SELECT u.ups[k.i] AS id, u.id AS descendant_id, CAST(k.i AS BIGINT) AS distance FROM up u, LATERAL (SELECT unnest(range(1, len(u.ups) + 1)) AS i) k""",
