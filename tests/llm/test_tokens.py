@@ -116,7 +116,7 @@ def test_pages(spark):
     fine = {
         20: "Answer key for the sheet. Each line gives the number of the exercise and its result.\n" + "\n".join(f"{i}. {rng.randrange(9999)}" for i in range(40)),
         21: "Drill for beginners. " + " ".join(f"Add {rng.randrange(9)} to {rng.randrange(99)} and write the sum down." for _ in range(20)),
-        22: " ".join(f"A zeo number is a sum of {rng.randrange(99)} squares, and every zeo number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} zeo divisor." for _ in range(8)),
+        22: PROSE + " ".join(f"A zeo number is a sum of {rng.randrange(99)} squares, and every zeo number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} zeo divisor." for _ in range(8)),
         23: PROSE * 3 + "\n" + "\n".join(f"- Ann, notes on algebra: https://x{i}.example" for i in range(3)),
         24: PROSE + "Sponsored: https://x.example | cheap puzzle books online",
         25: "我们把库存写成一个线性数列。因为余数是九，下一个可能的数只有七。" * 6,
@@ -127,7 +127,7 @@ def test_pages(spark):
     shapes = ["The path from {} crosses the {} near {}.", "It was copied by {} and sent to the {}.", "Compare this with the {} of {} from last week.", "Several readers asked why the {} appears in {}.", "For which {} does the rule of {} hold?", "Write {} for the {} that {} guards.", "There are {} and {} in the {}.", "We draw the {} first and label its {}.", "A common mistake is to forget the {} of {}.", "The {} is full when {} comes."]
     filler = {100 + i: " ".join(x.format(noun(), noun(), noun()) for x in rng.sample(shapes, 7)) for i in range(300)}
     drill = lambda: "Drill for beginners. " + " ".join(f"Add {rng.randrange(9)} to {rng.randrange(99)} and write the sum down." for _ in range(9))
-    terms = lambda n: " ".join(f"A {n} number is a sum of {rng.randrange(99)} squares, and every {n} number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} {n} divisor." for _ in range(6))
+    terms = lambda n: PROSE + " ".join(f"A {n} number is a sum of {rng.randrange(99)} squares, and every {n} number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} {n} divisor." for _ in range(6))
     filler |= {500 + i: drill() if i % 2 else terms(noun()) for i in range(24)}
     rows = [(k, t, "c") for part in (spam, fine, filler) for k, t in part.items()] + [(31, None, "c"), (None, spam[1], "c"), (1, spam[1], "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, prose string")

@@ -7,7 +7,7 @@ from collections import Counter
 
 #: Function words of four languages (articles, prepositions, pronouns, auxiliaries, conjunctions).
 FUNCTION_WORDS = {
-    "en": "another such same more most very first second next last far still while until the of and to in is are was were be been that this these those it its with for from as at by on or not which who whose when where how what than then so if has have had do does can could must may will would each any all only into between after before because since over under no nor but we you i he she they his her their our your here there also about",
+    "en": "above below near along beside besides against during through down up out off within without upon toward across around another such same more most very first second next last far still while until the of and to in is are was were be been that this these those it its with for from as at by on or not which who whose when where how what than then so if has have had do does can could must may will would each any all only into between after before because since over under no nor but we you i he she they his her their our your here there also about",
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war waren wird werden wurde hat haben hatte mit von vom zu zum zur im in an am auf für als wie wenn dass daß weil nach bei aus über unter zwischen durch sich es er sie wir man kein keine auch nur noch so um je jede jeden jeder jedes welche welcher wieviele viele also damit dann dabei bis",
     "fr": "le la les un une des du de et ou mais ne pas est sont était être a ont avait avec pour par dans sur sous entre que qui quand où dont ce cet cette ces se sa son ses leur leurs au aux en il elle ils elles on nous vous je si comme donc car chaque tout tous toute plus moins aussi alors après avant sans quel quelle quels combien reste d l s n qu",
     "es": "el la los las un una unos unas de del y o pero no es son era fue ser ha han había con por para en sobre entre que quien cuando donde cuyo cual cuál cuánto cuántos cuántas este esta estos estas se su sus le les al lo como si porque cada todo todos toda más menos también entonces después antes sin a hay e ni",
