@@ -124,7 +124,7 @@ def test_pages(spark):
         27: "", 28: "  ", 29: "x", 30: PROSE * 20_000,
     }
     noun = lambda: f"n{rng.randrange(400)}x".replace("0", "o").translate(str.maketrans("123456789", "abcdefghi"))
-    shapes = ["The path from {} crosses the {} near {}.", "It was copied by {} and sent to the {}.", "Compare this with the {} of {} from last week.", "Several readers asked why the {} appears in {}.", "For which {} does the rule of {} hold?", "Write {} for the {} that {} guards.", "There are {} and {} in the {}.", "We draw the {} first and label its {}.", "A common mistake is to forget the {} of {}.", "The {} is full when {} comes."]
+    shapes = ["The path from {} crosses the {} near {}.", "It was copied by {} and sent to the {}.", "Compare this with the {} of {} from last week.", "Several readers asked why the {} appears in {}.", "For which {} does the rule of {} hold?", "Write {} for the {} that {} guards.", "There are {} and {} in the {}.", "We draw the {} first and label its {}.", "A common mistake is to forget the {} of {}.", "The {} is full when {} comes.", "The number of {} is a divisor of the number of {}.", "Each divisor counts the squares of {}."]
     filler = {100 + i: " ".join(x.format(noun(), noun(), noun()) for x in rng.sample(shapes, 7)) for i in range(300)}
     drill = lambda: "Drill for beginners. " + " ".join(f"Add {rng.randrange(9)} to {rng.randrange(99)} and write the sum down." for _ in range(9))
     terms = lambda n: PROSE + " ".join(f"A {n} number is a sum of {rng.randrange(99)} squares, and every {n} number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} {n} divisor." for _ in range(6))
