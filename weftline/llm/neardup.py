@@ -85,22 +85,21 @@ def similar_sets(c: Classes, num: int = 7, den: int = 10, b: Banding = Banding()
 
     Classes of one bucket are joined on the bucket's key; a bucket with a single member makes no pair, one of more than
     b.large members is not paired up: its members are compared among themselves by prefix filtering, which loses none.
+    Buckets are sized by counting, with partial sums, so a hot one is never held by one task.
     """
-    signed = _signed(c.sets, b)
+    signed, _ = c.ws.write(_signed(c.sets, b))
     per = signed.select("cid", "n", "s0", "s1", F.explode("bands").alias("k"))
-    per = per.withColumn("fellows", F.count("*").over(Window.partitionBy("k"))).where("fellows > 1")
-    both, _ = c.ws.write(per)
-    large = both.where(F.col("fellows") > b.large).select("cid").distinct()
-    usual = both.where(F.col("fellows") <= b.large)
+    shared, got = c.ws.write(per.groupBy("k").agg(F.count("*").alias("fellows")).where("fellows > 1"), large=F.count_if(F.col("fellows") > b.large))
+    usual, _ = c.ws.write(per.join(shared.where(F.col("fellows") <= b.large).select("k"), "k", "left_semi"))
     x = usual.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), "k")
     y = usual.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), "k")
     agree = SKETCH_BITS - F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     found = x.join(y, "k").where((F.col("a") < F.col("b")) & _ratio("na", "nb", num, den) & (agree >= b.agree)).select("a", "b")
-    if not large.isEmpty():
-        hot, _ = c.ws.write(large)
+    if got["large"]:
+        hot, _ = c.ws.write(per.join(shared.where(F.col("fellows") > b.large).select("k"), "k", "left_semi").select("cid").distinct())
         found = found.unionByName(_prefix_candidates(c.sets, hot, num, den))
     found, _ = c.ws.write(found.distinct())
-    c.ws.drop(both)
+    c.ws.drop(signed, shared, usual)
     left = c.sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = c.sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     common = F.size(F.array_intersect("ha", "hb"))
@@ -144,13 +143,12 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     larger, then smaller neighbours to its least one, until nothing changes.
     """
     e, got = ws.write(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, "u long, v long"), n=F.count("*"), s=F.sum(F.col("v").cast("decimal(38,0)")))
+    least = lambda t: t.groupBy("u").agg(F.min("v").alias("m"))  # noqa: E731  with partial minima: a node with many edges is held by no task
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        big = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.where("v > u").join(least(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         down = big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-        low = F.min("v").over(Window.partitionBy("u"))
-        star = down.withColumn("m", low)
+        star = down.join(least(down), "u")
         star = star.select("u", F.col("m").alias("v")).unionByName(star.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         new, now = ws.write(star, n=F.count("*"), s=F.sum(F.col("v").cast("decimal(38,0)")))
         ws.drop(e)
