@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.runtime import Workspace
 
-#: Parts into which the light children of one node are split for numbering, so no node's children meet in one task.
+#: Parts at least into which the light children of one node are split for numbering, so no node's children meet in one task.
 SIBLING_PARTS = 32
 
 
@@ -133,7 +133,8 @@ def label(links: DataFrame, chains: bool = True) -> DataFrame:
     lines, _ = climb(ws, marked.select("id", F.when(F.col("on_chain"), F.col("tree_parent")).alias("up"), F.lit(0).cast("long").alias("w")))
     lines = lines.select("id", F.col("top").alias("head"), F.col("hops").alias("pos"))
     # Places of light children: running sizes within a part of the children, after the sums of the parts before it.
-    light = marked.where("tree_parent is not null and not on_chain").select("id", "tree_parent", "size", "heavy_size", F.pmod(F.xxhash64("id"), F.lit(SIBLING_PARTS)).alias("part"))
+    parts = max(SIBLING_PARTS, 4 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    light = marked.where("tree_parent is not null and not on_chain").select("id", "tree_parent", "size", "heavy_size", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
     sums = light.groupBy("tree_parent", "part").agg(F.sum("size").alias("total"))
     before = sums.withColumn("before", F.sum("total").over(Window.partitionBy("tree_parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("total")
     run = F.sum("size").over(Window.partitionBy("tree_parent", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))

@@ -53,8 +53,8 @@ def steps(events: DataFrame) -> DataFrame:
     starts again loses its steps. Needs events once each.
     """
     e = events.where(F.col("seed_id").isNotNull() & F.col("kind").isin("seed_started", "stage_started", "stage_done"))
-    seed = Window.partitionBy("run_id", "seed_id")
-    e = e.withColumn("__start", F.max(F.when(F.col("kind") == "seed_started", F.col("seq"))).over(seed)).where("seq > __start")
+    start = e.where("kind = 'seed_started'").groupBy("run_id", "seed_id").agg(F.max("seq").alias("__start"))
+    e = e.join(start, ["run_id", "seed_id"]).where("seq > __start")
     w = Window.partitionBy("run_id", "seed_id", "iteration", "stage").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("__n", F.count(F.when(F.col("kind") == "stage_started", 1)).over(w)).where("__n > 0")
     done, began = F.col("kind") == "stage_done", F.col("kind") == "stage_started"
