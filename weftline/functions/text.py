@@ -181,3 +181,14 @@ def token_budget(model: Column | str, requested: Column | str) -> Column:
     """Tokens to ask for: as requested, for reasoning models four times as many and at least 8192."""
     n = col(requested)
     return F.when(reasoning_model(model), F.greatest(F.lit(8192), n * 4)).otherwise(n)
+
+
+def cache_eligible(use_cache: Column | str, temperature: Column | str) -> Column:
+    """Whether a completion may come from the cache: as asked, else if the temperature is 0."""
+    return F.coalesce(col(use_cache), col(temperature) == 0, F.lit(False))
+
+
+def request(model: Column | str, temperature: Column | str, max_tokens: Column | str, json: Column | str) -> Column:
+    """Parameters of a call as an object: temperature where the model takes one, the token budget under the name that its family reads, the response format where JSON is asked for."""
+    m, budget = col(model), token_budget(model, max_tokens)
+    return F.struct(m.alias("model"), F.when(takes_temperature(m), col(temperature)).alias("temperature"), F.when(reasoning_model(m), budget).alias("max_completion_tokens"), F.when(~reasoning_model(m), budget).alias("max_tokens"), F.when(col(json), F.lit("json_object")).alias("response_format"))

@@ -19,7 +19,7 @@ SIBLING_PARTS = 32
 def normal_id(c: Column | str) -> Column:
     """A link as it is compared: trimmed, in lower case, null if blank."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s ​﻿]+|[\s ​﻿]+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", "")), F.lit(""))
 
 
 def resolve_links(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", fallback_col: str | None = "seed_id") -> DataFrame:

@@ -368,6 +368,21 @@ def token_budget_rules(spark, d):
     return pairs.select("model", "requested", text.token_budget("model", "requested").alias("budget"), text.reasoning_model("model").alias("reasoning"), text.takes_temperature("model").alias("temperature"))
 
 
+@query(f"""SELECT model, requested, NOT (contains(m, 'gpt-5.5') OR contains(m, 'gpt-5.4')) AS heated, CASE WHEN r THEN greatest(8192, requested * 4) END AS max_completion_tokens, CASE WHEN NOT r THEN requested END AS max_tokens, requested = 100 AS cached
+FROM (SELECT *, contains(m, 'gpt-5') OR contains(m, '/o') OR starts_with(m, 'o') AS r FROM (SELECT model, lower(model) AS m, requested FROM (VALUES {", ".join(f"('{m}')" for m in _MODELS)}) t(model), (VALUES (100), (2048), (5000)) q(requested)))""")
+def request_parameters(spark, d):
+    """Call parameters by model name."""
+    pairs = prepare(spark).createDataFrame([(m, n) for m in _MODELS for n in (100, 2048, 5000)], "model string, requested int")
+    r = pairs.withColumns({"r": text.request("model", F.lit(0.4), "requested", F.lit(False)), "cached": text.cache_eligible(F.lit(None).cast("boolean"), F.when(F.col("requested") == 100, 0.0).otherwise(0.7))})
+    return r.select("model", "requested", F.col("r.temperature").isNotNull().alias("heated"), "r.max_completion_tokens", "r.max_tokens", "cached")
+
+
+@query("SELECT run_id, count(*) AS events, CAST(row_number() OVER (ORDER BY min(ts) DESC NULLS LAST, run_id) AS INT) AS place FROM run_events GROUP BY run_id")
+def run_listing(spark, d):
+    """Runs, newest first."""
+    return runs.listing(_read(spark, d, "run_events")).select("run_id", "events", "place")
+
+
 @query(f"SELECT id, coalesce(nullif({_strip('solution')}, ''), nullif({_strip('answer')}, ''), nullif({_strip('question')}, ''), '') AS text FROM lineage_rows")
 def response_text_coalesce(spark, d):
     """The first text that says something."""

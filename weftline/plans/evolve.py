@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.functions.ids import stable_id
 from weftline.operators import memory, parents, responses, rows, selection
 from weftline.operators.completions import Completer, stage
 from weftline.runtime import Workspace
@@ -61,20 +60,23 @@ def evolve(df: DataFrame, cfg: Config, completer: Completer, num_seeds: int | No
     out = rows.source_rows(chosen, i.dataset, i.split, "record")
     kinds = [chosen.select(F.lit("seed_started").alias("kind"), F.col("source_id").alias("seed_id"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("status"))]
     lessons: list[str] = []
+    calls = 0
+    answered = {"calls": F.count("response")}
     total = n["n"] or 0
     step = total if not wave else wave
     for start in range(0, 0 if cfg.runtime.dry_run else total, max(1, step)):
         part = chosen.where((F.col("seed_index") >= start) & (F.col("seed_index") < start + step)).withColumn("key", F.col("seed_index").cast("string"))
         keep = cfg.lineage.max_memory_items
         shown = lessons[-keep:] if keep else lessons
-        made, _ = ws.write(stage(part.select("key", generation_prompt(cfg, shown).alias("prompt")), "generate", completer))
+        made, n1 = ws.write(stage(part.select("key", generation_prompt(cfg, shown).alias("prompt")), "generate", completer), **answered)
         first, _ = ws.write(responses.candidate_table(made, "key", "response"))
         packed = lambda c: c.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "label", "question", "answer", "solution", "transformation", "why_new", "risk"))).alias("candidates"))  # noqa: E731  a response's few candidates
         asked = part.join(packed(first), "key").select("key", follow_up_prompt(cfg, REFINE).alias("prompt"))
-        refined, _ = ws.write(stage(asked, "refine", completer))
+        refined, n2 = ws.write(stage(asked, "refine", completer), **answered)
         both, _ = ws.write(responses.substitute(first, responses.candidate_table(refined, "key", "response", "refined")))
         asked = part.join(packed(both), "key").select("key", follow_up_prompt(cfg, JUDGE).alias("prompt"))
-        judged_text, _ = ws.write(stage(asked, "judge", completer))
+        judged_text, n3 = ws.write(stage(asked, "judge", completer), **answered)
+        calls += sum(x["calls"] or 0 for x in (n1, n2, n3))
         judged, _ = ws.write(selection.judge(both, responses.block_table(judged_text, "key", "response", "judgement"), judged_text))
         best = selection.select(judged, cfg.lineage)
         fields = F.struct("label", "transformation", "question", "answer", "solution", "why_new", "risk", "scores", "correct", "decision", "failure_kind", "judge_notes")
@@ -100,9 +102,6 @@ def evolve(df: DataFrame, cfg: Config, completer: Completer, num_seeds: int | No
     errors = [f"{r['seed_id']}: {r['error']}" for r in events.where("kind = 'seed_error'").collect()]
     keep = cfg.lineage.max_memory_items
     latest = n["it"] if n["it"] is not None else 0
-    summary = {"input_dataset": i.dataset, "input_split": i.split, "output_dataset": cfg.output.dataset, "seeds": total, "source_iteration": latest, "current_iteration": latest + 1, **counted, "errors": errors, "global_memory": lessons[-keep:] if keep else lessons}
+    summary = {"input_dataset": i.dataset, "input_split": i.split, "output_dataset": cfg.output.dataset, "seeds": total, "source_iteration": latest, "current_iteration": latest + 1, **counted, "model_calls": calls, "errors": errors, "global_memory": lessons[-keep:] if keep else lessons}
     return Result(result, summary, events, lessons)
 
-
-def run_id(name: str) -> F.Column:
-    return stable_id("run", name)

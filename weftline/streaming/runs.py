@@ -75,6 +75,13 @@ def progress(events: DataFrame) -> DataFrame:
     return made.join(states, "run_id", "left").fillna(0, ["seeds", "finished", "errors"])
 
 
+def listing(events: DataFrame) -> DataFrame:
+    """(run_id, created_at, events, place): runs by their first event, newest first, those without a time last."""
+    made = events.groupBy("run_id").agg(F.min("ts").alias("created_at"), F.count("*").alias("events"))
+    order = Window.orderBy(F.col("created_at").desc_nulls_last(), "run_id")  # one row a run
+    return made.withColumn("place", F.row_number().over(order))
+
+
 def upload_state(events: DataFrame) -> DataFrame:
     """(run_id, upload): idle, running, done or error, by the last event that tells; a failed run fails an upload under way."""
     k, seq = F.col("kind"), F.col("seq")
