@@ -23,7 +23,7 @@ def theirs():
 
 def test_ids_equal_the_library(theirs):
     @settings(max_examples=300, deadline=None)
-    @given(st.text() | st.text("ab \n'sé日​🙂<|endoftext|>1.", max_size=80))
+    @given(st.text() | st.text("ab \n'sé日\u200b🙂<|endoftext|>1.", max_size=80))
     def check(t):
         ids = OURS.encode(t)
         assert ids == theirs.encode_ordinary(t) and OURS.decode(ids) == t

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,7 +17,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm import languages
 from weftline.runtime import Workspace, small
 
 #: Stand-ins for an absent text, in lower case, without white space around.
@@ -24,13 +24,13 @@ STAND_INS = ("", "-", "--", "—", "–", ".", "..", "...", "…", "?", "[]", "{
 #: Signs that end a text as a full stop does, marks of a finished proof, closing marks.
 STOPS, PROOF_SIGNS, CLOSERS = ".!?。！？؟।", "∎□■◻◼▪", "\"'”’»›)]}*_`」』"
 PROOF_WORDS = re.compile(r"(?:^|\W)(?:q\.?\s?e\.?\s?d\.?|w\.?\s?z\.?\s?b\.?\s?w\.?|c\.?\s?q\.?\s?f\.?\s?d\.?|c\.?\s?q\.?\s?d\.?|q\.?\s?e\.?\s?f\.?)$", re.I)
-_SPACE = re.compile(r"[\s​‌‍⁠﻿­\x00-\x1f]+$")
-_LEAD = re.compile(r"^[\s​‌‍⁠﻿­\x00-\x1f]+")
+_SPACE = re.compile(r"[\s\u200b\u200c\u200d\u2060\ufeff\u00ad\x00-\x1f]+$")
+_LEAD = re.compile(r"^[\s\u200b\u200c\u200d\u2060\ufeff\u00ad\x00-\x1f]+")
 #: What a cut in transfer leaves behind: half an escape, entity or code point.
 _TRACE = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{0,1}|\\|&(?:#\d{0,5}|#x[0-9a-fA-F]{0,5}|[A-Za-z]{1,7})|\[truncated\]|\(truncated\)|<truncated>|\[cut\]|\[…\]|\[\.\.\.\])$", re.I)
 _BOUNDARY = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]*_]*(?:\s+|(?<=[。！？]))|\n+")
 _MATH = r"(?:\\\([^\n]*?\\\)|\\\[[^\n]*?\\\]|\$\$[^\n$]*\$\$|\$[^\n$]+\$)"
-_NUMBER = r"[-+]?[\d][\d.,:/^   ]*"
+_NUMBER = r"[-+]?[\d][\d.,:/^ \u00a0\u202f]*"
 _BARE = re.compile(rf"^\W*(?:[A-Za-z]\s*=\s*)?(?:{_MATH}|{_NUMBER}|\\boxed\{{[^{{}}]*\}})[%°€$]?(?:\s*\(?\s*[^\W\d_]+(?:\s[^\W\d_]+)?\s*\)?)?\W*$")
 _LABELLED = re.compile(rf"^\W*[^\W\d_]+(?:\s[^\W\d_]+){{0,3}}\s?:\s*\W*(?:[A-Za-z]\s*=\s*)?(?:{_MATH}|{_NUMBER})\W*((?:[^\W\d_]+\s?){{0,2}})\W*$")
 _COPULA = re.compile(rf"(?:\bis|\bare|\bequals|\bbe|\bist|\bsind|\bbeträgt|\bgleich|\best|\bvaut|\bégale|\bes|\bson|\bvale|\bigual a|=|:|→|⇒)\s*\**{_MATH}\W*$", re.I)
@@ -49,6 +49,9 @@ def is_stand_in(text: str | None) -> bool:
 
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」"}
+_OPENERS: dict[str, list[str]] = {}
+for _open, _close in _PAIRS.items():
+    _OPENERS.setdefault(_close, []).append(_open)
 
 
 def unclosed(text: str) -> list[str]:
@@ -58,44 +61,56 @@ def unclosed(text: str) -> list[str]:
     outer bracket drops what was left open within.
     """
     stack: list[str] = []
+    have: Counter = Counter()  # of each mark in the stack, so that a stray closing mark is passed over at once
+
+    def push(mark: str) -> None:
+        stack.append(mark)
+        have[mark] += 1
+
+    def pop_to(mark: str) -> None:
+        while True:
+            top = stack.pop()
+            have[top] -= 1
+            if top == mark:
+                return
+
     i, n = 0, len(text)
     while i < n:
         top = stack[-1] if stack else ""
-        three, two, one = text[i : i + 3], text[i : i + 2], text[i]
+        one, two = text[i], text[i : i + 2]
         if top == "```":
-            if three == "```":
-                stack.pop()
+            if text.startswith("```", i):
+                pop_to(top)
                 i += 2
-        elif three == "```":
-            stack.append("```")
+        elif one == "`" and text.startswith("```", i):
+            push("```")
             i += 2
         elif top in ("\\(", "\\["):
             if two == ("\\)" if top == "\\(" else "\\]"):
-                stack.pop()
+                pop_to(top)
                 i += 1
         elif top in ("$$", "$"):
             if text.startswith(top, i):
-                stack.pop()
+                pop_to(top)
                 i += len(top) - 1
         elif two in ("\\(", "\\[", "$$"):
-            stack.append(two)
+            push(two)
             i += 1
         elif two == "\\$":
             i += 1
         elif one == "$":
-            stack.append("$")
+            push("$")
         elif one == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    pass
+            if have['"']:
+                pop_to('"')
             else:
-                stack.append('"')
-        elif one in _PAIRS and not (one == "“" and "„" in stack):
-            stack.append(one)
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if _PAIRS.get(stack[k]) == one:
-                    del stack[k:]
+                push('"')
+        elif one in _PAIRS and not (one == "“" and have["„"]):
+            push(one)
+        elif one in _OPENERS:
+            for opener in reversed(stack) if any(have[o] for o in _OPENERS[one]) else ():
+                if opener in _OPENERS[one]:
+                    pop_to(opener)
                     break
         i += 1
     return stack
