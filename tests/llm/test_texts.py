@@ -7,7 +7,7 @@ import pytest
 from weftline.llm import completeness as c
 from weftline.llm import languages, pairs
 
-WHOLE = ["It ends.", "Does it?", "Yes!", "所求的数是19。", "done ∎", "and so it follows. QED", "The result is \\(x = 3\\)", "So. $$x = 12$$", "7", "**12**", "3/4", "$5$", "\\(x = 9\\)", "12 (apples)", "45 apples", 'He said "it ends."', '"Is it so?"', "First. Then all (and there is no third case).", "What is it? (algebra)", "`code`. Fine.", "It is 4.\n", "I have 5 pears. Answer: 9 pears", "See [1].", "The end.\u200b", "(It ends.)"]
+WHOLE = ["It ends.", "Does it?", "Yes!", "所求的数是19。", "done ∎", "and so it follows. QED", "The result is \\(x = 3\\)", "So. $$x = 12$$", "7", "**12**", "3/4", "$5$", "\\(x = 9\\)", "12 (apples)", "45 apples", 'He said "it ends."', '"Is it so?"', "First. Then all (and there is no third case).", "What is it? (algebra)", "`code`. Fine.", "It is 4.\n", "I have 5 pears. Answer: 9 pears", "See [1].", "The end.\u200b", "(It ends.)", 'We ask: "What is it? (algebra)"', '"What is it? (algebra)"']
 CUT = ["Then we mult", "the values 3, 5,", "and that is what...", "the path is…", "so only �", "he said \\u00", "a &quo", "the case \\", "(see the yard ab", "turns into \\(4u = 5", "The sum is 7. Putting \\(u = 4\\) turns", "First. Then all of them,", "It holds for 3 and", "```\nx = 1\n", "the words of Ann, \"it return", "Since 7 leaves 3, the next: ", "Weil der Rest 3 beträgt,", "I have 5 pears. Answer: 9 pea"]
 
 

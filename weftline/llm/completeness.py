@@ -49,6 +49,7 @@ def is_stand_in(text: str | None) -> bool:
 
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」"}
+_WRAPS = ('""', "“”", "«»", "„“", "「」", "()", "[]")
 _OPENERS: dict[str, list[str]] = {}
 for _open, _close in _PAIRS.items():
     _OPENERS.setdefault(_close, []).append(_open)
@@ -127,6 +128,8 @@ def ending(text: str | None, context: str | None = None) -> str:
     if _TRACE.search(t) and not t.endswith(";"):
         return "cut"
     t = bare(html.unescape(t))
+    if len(t) > 2 and t[0] + t[-1] in _WRAPS and not any(x in t[1:-1] for x in (t[0], t[-1])):
+        t = bare(t[1:-1]) or t  # the whole text in quotation marks or brackets
     core = t.rstrip("*_` ") or t
     if core.endswith(("...", "…")):
         before = core.rstrip(".… ")
@@ -158,7 +161,7 @@ def ending(text: str | None, context: str | None = None) -> str:
     if core[-1] in ")]}\"”»" and not open_:
         if t[0] in "\"“«„([{" and alone:
             return "whole"
-        if re.match(r"^[(\[\"“«„][^()\[\]]*[)\]\"”»]$", last):
+        if re.match(r"^[(\[\"“«„][^()\[\]]*[)\]\"”»]+$", last):
             return "whole"  # a remark on its own after the last sentence
     return "cut"
 
