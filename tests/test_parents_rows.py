@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import memory, parents, rows
-from weftline.operators.completions import StubCompleter, call
+from weftline.operators.completions import StubCompleter, call, complete_cached, embed_cached
 from weftline.plans.evolve import evolve
 from weftline.settings import Config, Models, load_config, same_dataset, write_config
 from weftline.sources import cache, tables
@@ -108,6 +108,25 @@ def test_calls_retry():
     assert call(refused, "s", "p", waits.append) == (None, "Invalid API key", 1)
 
 
+def test_cached_calls_and_vectors(spark, tmp_path):
+    def shout(stage, prompt):
+        if prompt == "bad":
+            raise RuntimeError("unauthorized")
+        return "" if prompt == "mute" else prompt.upper()
+
+    store = cache.Cache(spark, str(tmp_path / "c"))
+    req = spark.createDataFrame([("aa1", "x"), ("aa1", "x"), ("bb2", "bad"), ("cc3", "mute")], "key string, prompt string")
+    assert {r.key: r.content for r in complete_cached(req, "s", shout, store).collect()} == {"aa1": "X", "bb2": None, "cc3": ""}
+    assert [r.key for r in store.split(req)[0].select("key").distinct().collect()] == ["aa1"]  # blanks and failures are not kept
+    again = complete_cached(req, "s", lambda stage, prompt: "other", store)
+    assert {r.key: r.content for r in again.collect()} == {"aa1": "X", "bb2": "other", "cc3": "other"}
+    vectors = cache.Cache(spark, str(tmp_path / "v"), cache.EMBEDDINGS, "embedding")
+    texts = spark.createDataFrame([("a",), ("a",), ("bcd",), (None,)], "text string")
+    first = embed_cached(texts, "m", lambda ts: [[float(len(t))] for t in ts], vectors)
+    assert sorted(r.embedding for r in first.collect()) == [[1.0], [3.0]]
+    assert sorted(r.embedding for r in embed_cached(texts, "m", lambda ts: [[9.0]] * len(ts), vectors).collect()) == [[1.0], [3.0]]
+
+
 def test_generation(spark):
     class Failing(StubCompleter):
         def __call__(self, stage, prompt):

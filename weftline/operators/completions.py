@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.ids import embedding_key
+from weftline.runtime import Workspace
+from weftline.sources.cache import Cache
+
 RESULT = "key string, response string, error string, attempts int"
 #: Most attempts of a call, shortest and longest wait in seconds.
 ATTEMPTS, SHORTEST, LONGEST = 4, 1.0, 30.0
@@ -23,6 +27,12 @@ class Completer(Protocol):
     def __call__(self, stage: str, prompt: str) -> str: ...
 
 
+class Vectoriser(Protocol):
+    """Anything that can be pickled and turns texts into vectors."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
 class StubCompleter:
     """Answers from the prompt's hash alone, in the response format of each stage; for tests and dry measurements."""
 
@@ -62,3 +72,34 @@ def stage(requests: DataFrame, name: str, completer: Completer, parallel: int |
 
     source = requests.select(F.col("key").cast("string"), F.col("prompt").cast("string"))
     return (source.repartition(parallel) if parallel else source).mapInArrow(run, RESULT)
+
+
+def complete_cached(requests: DataFrame, name: str, completer: Completer, store: Cache, parallel: int | None = None) -> DataFrame:
+    """(key, content) of requests (key, prompt), key being the hash of the whole request: from the store where it has them, else by calls, whose answers are kept if they say anything.
+
+    What is found is fixed before anything is added; the answers are read back from the store, so no call is made twice.
+    """
+    hits, misses = store.split(requests.dropDuplicates(["key"]))
+    found = hits.select("key", "content")
+    ws = Workspace(requests.sparkSession, "calls")
+    kept, _ = ws.write(found)
+    made, _ = ws.write(stage(misses, name, completer, parallel))
+    store.put(made.where("response is not null").select("key", F.col("response").alias("content"), F.lit("stop").alias("finish_reason"), F.lit("").alias("usage"), F.lit(time.time()).alias("t")))
+    return kept.unionByName(made.select("key", F.col("response").alias("content")))
+
+
+def embed_cached(texts: DataFrame, model: str, vectoriser: Vectoriser, store: Cache, batch: int = 256) -> DataFrame:
+    """(key, embedding) of texts (column text), each text once, from the store where it has them, else by the vectoriser in batches; null texts have none."""
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectoriser(part.column(1).to_pylist()), pa.list_(pa.float32()))], names=["key", "embedding"])
+
+    keyed = texts.where("text is not null").select(embedding_key(model, F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    hits, misses = store.split(keyed)
+    ws = Workspace(texts.sparkSession, "vectors")
+    kept, _ = ws.write(hits.select("key", "embedding"))
+    made, _ = ws.write(misses.select("key", "text").mapInArrow(run, "key string, embedding array<float>"))
+    store.put(made)
+    return kept.unionByName(made)
