@@ -85,3 +85,26 @@ def test_wanted_descendants_only(spark):
     labels = h.label(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string"))
     only = spark.createDataFrame([("b",), ("b",), ("zz",)], "id string")
     assert [(r.id, r.descendant_id) for r in h.descendants(labels, only).collect()] == [("b", "c")]
+
+
+def test_rows_on_circles_have_what_hangs_below(spark):
+    rng = random.Random(9)
+    ids = [f"n{i:02d}" for i in range(60)]
+    links = {v: rng.choice(ids) if rng.random() < 0.6 else None for v in ids}
+    links |= {"self": "self", "a": "b", "b": "c", "c": "d", "d": "a", "below": "a", "belower": "below", "more": "belower", "alone": None}
+    labels = h.label(spark.createDataFrame(list(links.items()), "id string, parent string"))
+    on = {v for v, w in walk(links).items() if w[2]}
+    want = set()
+    for v in links:
+        at, seen = links[v], {v}
+        for n in range(1, len(links)):
+            if at is None or at in seen:
+                break
+            seen.add(at)
+            if at in on:
+                want.add((at, v, n, v in on))
+            at = links[at]
+    got = [tuple(r) for r in h.ring_descendants(labels).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("b", "more", 4, False) in want
+    sizes = {r.id: r.n_descendants for r in h.ring_sizes(labels).collect()}
+    assert sizes == {v: sum(x[0] == v for x in want) for v in on} and sizes["self"] == 0

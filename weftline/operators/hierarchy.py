@@ -178,3 +178,34 @@ def descendants(labels: DataFrame, wanted: DataFrame | None = None, width: int =
     ask = ask.select(F.col("id").alias("a"), "top", F.col("depth").alias("a_depth"), lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("bin"))
     rows = labels.where("not on_circle").select(F.col("id").alias("descendant_id"), "top", "depth", "first", F.floor(F.col("first") / width).alias("bin"))
     return ask.join(rows, ["top", "bin"]).where("first between lo and hi").select(F.col("a").alias("id"), "descendant_id", (F.col("depth") - F.col("a_depth")).alias("distance"))
+
+
+def ring_members(labels: DataFrame) -> DataFrame:
+    """(circle, member, via, depth, on_circle): each row on a circle or hanging below one, with the row of the circle its way up enters (via) and its distance from that row."""
+    on = labels.where("on_circle").select(F.col("root_id").alias("circle"), F.col("id").alias("via"))
+    ring = on.select("circle", F.col("via").alias("member"), "via", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("on_circle"))
+    tops = labels.where("not on_circle and tree_parent is null and parent is not null").select("top", F.col("parent").alias("via"))
+    hang = labels.where("not on_circle").join(tops, "top").select(F.col("root_id").alias("circle"), F.col("id").alias("member"), "via", "depth", F.lit(False).alias("on_circle"))
+    return ring.unionByName(hang)
+
+
+def ring_descendants(labels: DataFrame) -> DataFrame:
+    """(id, descendant_id, distance, on_circle) of all nodes on circles: their fellows on the circle, marked by on_circle, and all rows hanging below it.
+
+    The other half of descendants(). Distances go down the links: places on a circle are counted from its smallest id.
+    """
+    ws = Workspace(labels.sparkSession, "rings")
+    ring, _ = ws.write(labels.where("on_circle").select("id", "parent", "root_id"))
+    place, _ = climb(ws, ring.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("up"), F.lit(0).cast("long").alias("w")))
+    place = place.select("id", F.col("top").alias("circle"), F.col("hops").alias("place"))
+    length = place.groupBy("circle").agg(F.count("*").alias("length"))
+    via = place.select(F.col("id").alias("via"), F.col("place").alias("via_place"))
+    below = ring_members(labels).join(via, "via").join(length, "circle")
+    steps = F.col("depth") + F.pmod(F.col("via_place") - F.col("place"), F.col("length"))
+    return place.join(below, "circle").where("id <> member").select("id", F.col("member").alias("descendant_id"), steps.alias("distance"), "on_circle")
+
+
+def ring_sizes(labels: DataFrame) -> DataFrame:
+    """(id, circle, n_on_circle, n_descendants) of all nodes on circles, fellows on the circle among the descendants."""
+    sizes = ring_members(labels).groupBy("circle").agg(F.count_if("on_circle").alias("n_on_circle"), (F.count("*") - 1).alias("n_descendants"))
+    return labels.where("on_circle").select("id", F.col("root_id").alias("circle")).join(sizes, "circle").select("id", "circle", "n_on_circle", "n_descendants")

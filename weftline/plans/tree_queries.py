@@ -31,6 +31,16 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.label(hierarchy.resolve_links(lineage(spark, d))))
 
 
+def p1_circle_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every row on a circle with all that hang below it, over the other rows of the circle too; the rest of p1_descendants."""
+    return hierarchy.ring_descendants(hierarchy.label(hierarchy.resolve_links(lineage(spark, d))))
+
+
+def p1_circles(spark: SparkSession, d: str) -> DataFrame:
+    """Circle and number of descendants of every row on a circle, which p1_tree leaves null."""
+    return hierarchy.ring_sizes(hierarchy.label(hierarchy.resolve_links(lineage(spark, d))))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every object that is an element of an array in the three JSON fields."""
     return nested.shred(lineage(spark, d), FIELDS, elements_only=True, keep=["id", "path"])
@@ -54,7 +64,7 @@ def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
     return nested.object_table(nodes, "artifacts_json.candidates[*]", ["index", "question", "answer", "decision", "correct", "failure_kind"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p3_found, p3_nodes, p3_schema_tables, p3_candidates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p1_circle_descendants, p1_circles, p3_found, p3_nodes, p3_schema_tables, p3_candidates)}
 
 _LINKS = """
 rows_ AS (
@@ -89,4 +99,15 @@ SELECT DISTINCT id, field || substr(fullkey, 2) AS path FROM x WHERE type = 'OBJ
     "p1_descendants": f"""WITH RECURSIVE {_LINKS},
 up AS (SELECT id, seen[2:CASE WHEN back THEN enters - 1 ELSE len(seen) END] AS ups FROM roots WHERE NOT (back AND enters = 1))
 SELECT u.ups[k.i] AS id, u.id AS descendant_id, CAST(k.i AS BIGINT) AS distance FROM up u, LATERAL (SELECT unnest(range(1, len(u.ups) + 1)) AS i) k""",
+    "p1_circle_descendants": f"""WITH RECURSIVE {_LINKS},
+ring AS (SELECT id FROM roots WHERE back AND enters = 1),
+down AS (
+  SELECT id AS top, id, 0 AS n FROM ring
+  UNION
+  SELECT d.top, l.id, d.n + 1 FROM down d JOIN links l ON l.parent = d.id WHERE l.id <> d.top)
+SELECT d.top AS id, d.id AS descendant_id, CAST(d.n AS BIGINT) AS distance, d.id IN (SELECT id FROM ring) AS on_circle FROM down d WHERE d.n > 0""",
+    "p1_circles": f"""WITH RECURSIVE {_LINKS}
+SELECT r.id, r.root_id AS circle, (SELECT count(*) FROM roots o WHERE o.back AND o.enters = 1 AND o.root_id = r.root_id) AS n_on_circle,
+  (SELECT count(*) FROM roots o WHERE o.back AND o.root_id = r.root_id) - 1 AS n_descendants
+FROM roots r WHERE r.back AND r.enters = 1""",
 }
