@@ -123,3 +123,16 @@ def test_defects_of_a_table(spark):
     got = sorted((r.id, r.defect) for r in pairs.defects(df).collect())
     assert got == [("blank", "empty_answer"), ("cut", "truncated_answer"), ("no", "empty_answer"), ("same", "copies_question")]
     assert pairs.defects(df.limit(0)).count() == 0
+
+
+LONG = "I'm sorry. " * 4 + "I cannot help with this request. Please ask another question. " * 12
+
+
+@pytest.mark.parametrize("t", [LONG, "I cannot help with problem 12.", "I'm sorry, but I can't assist with solving \\(x^2 = 144\\).", "Sorry, I must decline question No. 37. Please ask about question 38 instead.", "Ich kann Aufgabe 25 nicht lösen."])
+def test_wordy_refusals_and_those_that_name_the_task(t):
+    assert pairs.refuses(t)
+
+
+@pytest.mark.parametrize("t", [LONG + "The sum of the angles equals a straight line.", "We cannot do that, so x = 12.", "Unfortunately the answer is 12.", "I cannot give a proof, but x = 12.", "I cannot give more than this: it is 144.", "The number cannot give 3.14.", "With x = 12 I cannot continue."])
+def test_worked_answers_with_declining_words(t):
+    assert not pairs.refuses(t)

@@ -40,14 +40,36 @@ _NOTE = re.compile(r"^[\W_]*(?:note|hinweis|remarque|nota|answer|antwort|répons
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: What an answer works with, other than the number by which a refusal names its task; a formula is masked by a dollar sign before sentences are split.
+_FORMULA = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$|\$[^$]*\$", re.S)
+_TASK = re.compile(r"\b(?:problems?|questions?|exercises?|tasks?|items?|numbers?|aufgaben?|fragen?|übung|problèmes?|exercices?|problemas?|preguntas?|ejercicios?)\s*(?:(?:number|no|nr|num|nummer|numéro|número)\b\.?\s*)?#?\s*\d+", re.I)
+_WORKED = re.compile(r"\\\(|\$|=|\d{2,}")
+#: A decline may name a formula or number if it is in the first person, starts before that and comes to no result.
+_MINE = re.compile(r"\b(?:i|i'm|ich|je|puedo|podré|debo|quiero|tengo)\b", re.I)
+_RESULT = re.compile(r"\b(?:but|however|so|thus|hence|therefore|aber|also|daher|mais|donc|pero|luego)\b|(?<!what )\b(?:gives|equals|is|are|ist|sind|est|sont|es|son)\s*[:(]?\s*[-\d$]", re.I)
+
+
+def _declining(sentence: str) -> bool | None:
+    """True for a decline, False for a courtesy, None for a sentence that is neither or works on the question."""
+    sentence = _TASK.sub("task", sentence)
+    worked = _WORKED.search(sentence)
+    if m := _DECLINE.search(sentence):
+        return True if not worked or (worked.start() > m.start() and _MINE.search(sentence) and not _RESULT.search(sentence, m.start())) else None
+    return False if _COURTESY.search(sentence) and not worked else None
+
+
 def refuses(answer: str) -> bool:
-    """Whether an answer only declines to answer; a long text that works on the question does not, whatever its first words."""
+    """Whether an answer only declines to answer, at any length; one that works on the question does not, whatever its first words."""
     text = _NOTE.sub("", completeness.bare(answer)).replace("’", "'").replace("**", "")
-    sentences = [s.strip() for s in _SENTENCE.findall(text) if _WORD.search(s)]
-    if not sentences or len(sentences) > 5 or len(text) > 600:
-        return False
-    declines = [bool(_DECLINE.search(s)) for s in sentences]
-    return any(declines) and all(d or _COURTESY.search(s) for d, s in zip(declines, sentences)) and not re.search(r"\\\(|\$|=|\d{2,}", text)
+    text = re.sub(r"(?<=\d)\.(?=\d)|(?<=\bno)\.(?=\s*\d)|(?<=\bnr)\.(?=\s*\d)", " ", _FORMULA.sub(" $ ", text), flags=re.I)
+    some = False
+    for s in _SENTENCE.findall(text):
+        if not (_WORD.search(s) or "$" in s):
+            continue
+        if (kind := _declining(s.strip())) is None:
+            return False
+        some = some or kind
+    return some
 
 
 def tiles(a: list[str], b: list[str], least: int = 3) -> int:
