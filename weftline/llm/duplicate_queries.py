@@ -13,12 +13,21 @@ def _lineage(spark: SparkSession, d: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{d}/lineage_rows.parquet")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Newcomers whose question repeats one accepted in an earlier iteration."""
+def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     made = F.coalesce(F.col("role").isin("generated", "rejected"), F.lit(False))
     return history.newcomers(_lineage(spark, d).select("id", "iteration", made.alias("newcomer"), "accepted", "question"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Newcomers whose question repeats one accepted in an earlier iteration."""
+    return _checked(spark, d)[0]
+
+
+def p5_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The shards that p5_found searches: rows, width of the beam, recall of the graph alone against exhaustive search."""
+    return _checked(spark, d)[1]
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     rows = _lineage(spark, d)
     own = rows.where(F.col("role").isin("generated", "rejected")).select(F.col("id").alias("key"), F.col("question").alias("text"))
@@ -37,7 +46,7 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(c, neardup.similar_sets(c))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_shards, p6_found, p6_groups)}
 
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
 
