@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 
 import numpy as np
 import pytest
@@ -129,7 +130,24 @@ def test_pages(spark):
     drill = lambda: "Drill for beginners. " + " ".join(f"Add {rng.randrange(9)} to {rng.randrange(99)} and write the sum down." for _ in range(9))
     terms = lambda n: PROSE + " ".join(f"A {n} number is a sum of {rng.randrange(99)} squares, and every {n} number above {rng.randrange(99)} has a {rng.choice(['pale', 'keen', 'mossy', 'iron', 'tidy', 'wary'])} {n} divisor." for _ in range(6))
     filler |= {500 + i: drill() if i % 2 else terms(noun()) for i in range(24)}
+    pool = [w for t in filler.values() for w in re.findall(r"[a-z]+", t.lower())]
+    salad = lambda n: [rng.choice(pool) for _ in range(n)]
+    shelf = "дешёвые задачники купить учебники ответы решебник".split()
+    filler |= {600 + i: " ".join(f"Здесь {rng.choice(shelf)} и {rng.choice(shelf)} стоят на полке номер {rng.randrange(99)}." for _ in range(4)) for i in range(20)}
+    offers = ["дешёвые задачники", "купить решебник", "ответы учебники"]
+    spam |= {
+        8: " ".join(salad(160)),
+        9: ". ".join(" ".join(salad(11)).capitalize() for _ in range(14)) + ".",
+        10: " ".join(f"У нас {rng.choice(offers)} и {rng.choice(offers)} на {rng.choice(offers)}." for _ in range(25)),
+        11: "<" + "a" * 400 + ">" + ", ".join(phrase() for _ in range(60)),
+    }
     rows = [(k, t, "c") for part in (spam, fine, filler) for k, t in part.items()] + [(31, None, "c"), (None, spam[1], "c"), (1, spam[1], "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, prose string")
-    assert {r.doc_id for r in spampages.flag(spampages.scores(df)).collect()} == set(spam)
+    scored = spampages.scores(df)
+    flagged = {r.doc_id: r.reason for r in spampages.flag(scored).collect()}
+    odd = sorted(set(flagged) ^ set(spam))
+    assert not odd, scored.where(scored.doc_id.isin(odd)).collect()
+    assert flagged[8] == flagged[9] == "salad" and flagged[10] == "stuffed"
+    twice = df.unionByName(df.where("doc_id between 100 and 999").selectExpr("doc_id + 5000 as doc_id", "concat(text, ' ') as text", "prose"))
+    assert {k for k in (r.doc_id for r in spampages.flag(spampages.scores(twice)).collect()) if k < 5000} == set(spam)  # limits don't move with the corpus
     assert spampages.flag(spampages.scores(df.limit(0))).count() == 0

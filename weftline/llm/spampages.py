@@ -1,34 +1,36 @@
 """Keyword-stuffed and link-list pages, by pointwise mutual information of neighbouring words from corpus counts.
 
-Words and bigrams are counted over all documents. A page is scored by the mean PMI of its neighbouring words (word salad lacks
-it) and by its repeated collocations: the share of its bigrams that return at least three times, weighted with their PMI.
-Pages without sentences need few of them; in pages of sentences only collocations of two content words count, as drills,
-glossaries and set phrases repeat whole sentences, but not names of goods.
+Words and pairs of neighbours are counted over all documents. A page is scored by the mean normalised PMI of its neighbouring
+words, to which it does not itself contribute (word salad puts known words beside strangers), and by its repeated collocations:
+the share of its pairs that return at least three times, weighted with their normalised PMI. Normalised values lie within -1 and
+1 whatever the size of the corpus. Pages without sentences need few repeats; in pages of sentences only collocations of two
+content words count, as drills, glossaries and set phrases repeat whole sentences, but not names of goods.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm import languages
+from weftline.llm import languages, minhash
 from weftline.runtime import Workspace
 
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 #: Stands for a link while a text is split; a private-use character.
 MARK = "\ue000"
-WORD = re.compile(rf"[^\W_]+|{MARK}")
+#: Letters of scripts written without spaces, each a word of its own.
+DENSE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u0e00-\u0e7f"
+WORD = re.compile(rf"[{DENSE}]|[^\W_{DENSE}]+|{MARK}")
 SENTENCE = re.compile(r"([^.?!。！？\n]+)([.?!。！？]*)")
 LATIN = re.compile(r"[a-zß-ÿœ]")
-CONTENT = re.compile(r"[a-zß-ÿœ]+$")
 DIGITS = re.compile(r"\d+")
-TAG = re.compile(r"<[^>\n]{0,300}>|&[a-z]{2,6};|&#\d+;")
+TAG = re.compile(r"<[^<>\n]*>|&[a-z]{2,6};|&#\d+;")
 
 
 @dataclass(frozen=True)
@@ -36,19 +38,23 @@ class Rules:
     """prose is the share of words that stand in sentences. A page is spam by any of these limits, all at least:
 
     links: share of letters in links. repeats_bare: repeats of a page with prose below bare (lists of items). repeats: repeats
-    of a page with prose below mixed. stuffed, stuffed_mixed: repeats of content words, at any prose and at prose below loose.
-    salad: a mean PMI below this, on a page with prose below bare.
+    of a page with prose below mixed. stuffed, stuffed_mixed: repeats of content words times 1 - mean normalised PMI, at any prose
+    and at prose below loose; a page whose mean is coherent or more, or not known, repeats what others say and is none. salad: a mean
+    normalised PMI below this. A mean counts from known_pairs pairs, both words of which other pages have `known` times.
     """
 
     links: float = 0.4
     bare: float = 0.4
-    repeats_bare: float = 0.3
+    repeats_bare: float = 0.04
     mixed: float = 0.5
-    repeats: float = 1.0
-    stuffed: float = 1.3
+    repeats: float = 0.12
+    stuffed: float = 0.09
     loose: float = 0.77
-    stuffed_mixed: float = 0.97
-    salad: float = 0.5
+    stuffed_mixed: float = 0.062
+    coherent: float = 0.58
+    salad: float = -0.6
+    known: int = 10
+    known_pairs: int = 8
     least_words: int = 20
 
 
@@ -73,6 +79,10 @@ def token(w: str) -> str:
     return w if w.isalpha() else "\0link" if w == MARK else "\0number" if w.isdigit() else DIGITS.sub("0", w)
 
 
+def content(w: str) -> bool:
+    return w.isalpha() and w not in languages.FUNCTION
+
+
 def read(text: str) -> tuple[list[str], float, float]:
     """(tokens, prose, links) of a text: prose is the share of its words in sentences, links that of its letters in links.
 
@@ -99,70 +109,90 @@ def read(text: str) -> tuple[list[str], float, float]:
     return tokens, inside / total if total else 0.0, letters / links if links else 0.0
 
 
-def _key(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s) - 2**63
+PAGE = "doc_id long, same binary, prose double, links double, n int, k array<long>, a array<long>, b array<long>, v array<int>, va array<int>, vb array<int>, kind array<int>"
+#: Kinds of pairs: number after number or link after link, which is no collocation; two content words; any other.
+BLANK, CONTENT, OTHER = 0, 1, 2
 
 
-def _counted(batches):
-    """Counts of words and bigrams, added up over each batch."""
+def _pages(batches):
+    """Each page with its distinct pairs of neighbouring words: hashes of the pair and of both words, how often, and the kind. A text is read once."""
     for batch in batches:
-        one: Counter = Counter()
-        two: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                tokens = list(map(token, WORD.findall(plain(text)[0])))
-                one.update(tokens)
-                two.update(zip(tokens, tokens[1:]))
-        keys = [_key(w) for w in one] + [_key(f"{a} {b}") for a, b in two]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(one) + [2] * len(two), pa.int32()), pa.array([*one.values(), *two.values()], pa.int64())], names=["k", "size", "n"])
-
-
-def content(w: str) -> bool:
-    return w not in languages.FUNCTION and CONTENT.match(w) is not None
-
-
-def _pages(rules: Rules):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, prose, links = read(text or "")
-                if len(tokens) < 2:
-                    continue
-                two = Counter(zip(tokens, tokens[1:]))
-                if prose >= rules.mixed and links < rules.links and sum(v for (a, b), v in two.items() if v >= 3 and content(a) and content(b)) < 0.08 * (len(tokens) - 1):
-                    continue
-                out.extend((i, prose, links, len(tokens), _key(f"{a} {b}"), _key(a), _key(b), v, a[0] == "\0" and b[0] == "\0", content(a) and content(b)) for (a, b), v in two.items())
-            cols = list(zip(*out)) or [[]] * len(PAGE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PAGE.values())], names=list(PAGE))
-
-    return run
-
-
-PAGE = {"doc_id": pa.int64(), "prose": pa.float64(), "links": pa.float64(), "n": pa.int32(), "k": pa.int64(), "ka": pa.int64(), "kb": pa.int64(), "v": pa.int32(), "plain": pa.bool_(), "content": pa.bool_()}
+        ids, same, prose, links, lengths = [], [], [], [], []
+        number: dict[str, int] = {}
+        flat: list[int] = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens, p, q = read(text)
+            if len(tokens) > 1:
+                flat.extend([number.setdefault(w, len(number)) for w in tokens])
+                ids.append(i)
+                same.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                prose.append(p)
+                links.append(q)
+                lengths.append(len(tokens))
+        words = list(number)
+        key = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        kinds = np.array([BLANK if w[0] == "\0" else CONTENT if content(w) else OTHER for w in words], np.int32)
+        seq = np.array(flat, np.int64)
+        page = np.repeat(np.arange(len(ids)), lengths)
+        inner = page[1:] == page[:-1]
+        page, x, y = page[1:][inner], seq[:-1][inner], seq[1:][inner]
+        pair = (page * len(words) + x) * len(words) + y if len(words) ** 2 * max(1, len(ids)) < 2**62 else None
+        if pair is None:  # too many words in one batch for numbers: the same by sorting
+            _, at, v = np.unique(np.stack([page, x, y], 1), axis=0, return_index=True, return_counts=True)
+        else:
+            _, at, v = np.unique(pair, return_index=True, return_counts=True)
+        page, x, y = page[at], x[at], y[at]
+        # How often the page has the first word of a pair first, and the second one second.
+        va, vb = (np.bincount(i, v)[i].astype(np.int32) for i in (np.unique(page * max(1, len(words)) + z, return_inverse=True)[1] for z in (x, y)))
+        with np.errstate(over="ignore"):
+            k = minhash.mix(key[x] * minhash.STEP ^ minhash.mix(key[y]))
+        kind = np.where((kinds[x] == BLANK) & (kinds[y] == BLANK), BLANK, np.where((kinds[x] == CONTENT) & (kinds[y] == CONTENT), CONTENT, OTHER)).astype(np.int32)
+        offsets = pa.array(np.searchsorted(page, np.arange(len(ids) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (k.view(np.int64), key[x].view(np.int64), key[y].view(np.int64), v.astype(np.int32), va, vb, kind)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(prose, pa.float64()), pa.array(links, pa.float64()), pa.array(lengths, pa.int32()), *lists], names=["doc_id", "same", "prose", "links", "n", "k", "a", "b", "v", "va", "vb", "kind"])
+
+
+def pair_counts(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(k, nk, na, nb) of every pair of neighbours: how often it occurs, its first word stands first and its second one second; and their sum."""
+    ws = Workspace(pages.sparkSession, "pairs")
+    one = pages.select(F.explode(F.arrays_zip("k", "a", "b", "v")).alias("x")).select("x.*")
+    two, got = ws.write(one.groupBy("k", "a", "b").agg(F.sum("v").alias("nk")), total=F.sum("nk"))
+    # A pair occurs once here, so the commonest word has no more rows than there are words beside it.
+    left, right = two.groupBy("a").agg(F.sum("nk").alias("na")), two.groupBy("b").agg(F.sum("nk").alias("nb"))
+    return two.join(left, "a").join(right, "b").select("k", "nk", "na", "nb"), got["total"] or 1
 
 
 def scores(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, prose, links, n, named, mean_pmi, repeats, stuffed) of the pages that any rule might flag.
+    """(doc_id, prose, links, n, named, n_known, mean_npmi, repeats, stuffed) of every page of two words or more.
 
-    Counts come from all rows of docs (doc_id long, text). Pages of sentences in which content words hardly repeat are not
-    scored: with under 8 bigrams in a hundred repeated, no PMI below 12 could flag them. Null and blank texts and null ids
-    give no row; repeated rows of one doc_id are scored as one page; other columns are not read.
+    Counts come from all rows of docs (doc_id long, text). mean_npmi is null on a page without pairs of known words. A page adds
+    nothing to the counts that its own mean is taken from, nor do its exact copies. Null and blank texts and null ids give no
+    row; rows that repeat doc_id and text count for the corpus and are scored once; a doc_id with several texts has a row for
+    each; other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "spam")
-    text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted, _ = ws.write(text.select("text").mapInArrow(_counted, "k long, size int, n long").groupBy("k", "size").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy().agg(F.sum(F.when(F.col("size") == 1, F.col("n"))).alias("n1"), F.sum(F.when(F.col("size") == 2, F.col("n"))).alias("n2")).first()
-    schema = "doc_id long, prose double, links double, n int, k long, ka long, kb long, v int, plain boolean, content boolean"
-    pages = text.where("doc_id is not null").mapInArrow(_pages(rules), schema).distinct()
-    two = counted.where("size = 2").select("k", F.col("n").alias("nk"))
-    one = counted.where("size = 1").select(F.col("k").alias("w"), F.col("n").alias("nw"))
-    x = pages.join(two, "k").join(one.select(F.col("w").alias("ka"), F.col("nw").alias("na")), "ka").join(one.select(F.col("w").alias("kb"), F.col("nw").alias("nb")), "kb")
-    pmi = F.log(F.col("nk") / F.lit(float(totals["n2"] or 1))) - F.log(F.col("na") / F.lit(float(totals["n1"] or 1))) - F.log(F.col("nb") / F.lit(float(totals["n1"] or 1)))
-    v = F.when(F.col("plain"), 0).otherwise(F.col("v"))  # number after number or link after link is no collocation
-    again = F.when(F.col("v") >= 3, v * F.greatest("pmi", F.lit(0.0))).otherwise(0.0)
-    share = lambda c: F.sum(c) / F.sum("v")
-    return x.withColumn("pmi", pmi).groupBy("doc_id").agg(F.max("prose").alias("prose"), F.max("links").alias("links"), F.max("n").alias("n"), share(v).alias("named"), share(v * F.col("pmi")).alias("mean_pmi"), share(again).alias("repeats"), share(F.when(F.col("content"), again).otherwise(0.0)).alias("stuffed"))
+    text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pages, _ = ws.write(text.mapInArrow(_pages, PAGE))
+    counts, total = pair_counts(pages)
+    copies = pages.groupBy("same").agg(F.count("*").alias("copies"))
+    whole = pages.select("doc_id", "same", "prose", "links", "n").where("doc_id is not null").distinct().join(copies, "same")
+    of = pages.where("doc_id is not null").select("doc_id", "same", "n", F.explode(F.arrays_zip("k", "v", "va", "vb", "kind")).alias("x")).select("doc_id", "same", "n", "x.*")
+    x = of.join(counts, "k").join(copies, "same").withColumn("total", F.lit(total))
+    less = lambda c, v: F.col(c) - F.col(v) * F.col("copies")
+    other, first, second, rest = less("nk", "v"), less("na", "va"), less("nb", "vb"), F.col("total") - (F.col("n") - 1) * F.col("copies")
+    known = (F.col("kind") != BLANK) & (first >= rules.known) & (second >= rules.known)
+    npmi = lambda n, a, b, total: F.log(n * total / (a * b)) / -F.log((n - 0.5) / total)
+    apart = F.greatest(F.when(other > 0, npmi(other, first, second, rest)).otherwise(-1.0), F.lit(-1.0))
+    whole_npmi = npmi(F.col("nk"), F.col("na"), F.col("nb"), F.col("total"))
+    again = F.when((F.col("v") >= 3) & (F.col("kind") != BLANK), F.col("v") * F.least(F.greatest(whole_npmi, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    by = x.withColumns({"known": F.when(known, F.col("v")).otherwise(0), "apart": F.when(known, F.col("v") * apart), "again": again}).groupBy("doc_id", "same").agg(
+        (F.sum(F.when(F.col("kind") != BLANK, F.col("v")).otherwise(0)) / F.sum("v")).alias("named"),
+        F.sum("known").alias("n_known"),
+        (F.sum("apart") / F.sum("known")).alias("mean_npmi"),
+        (F.sum("again") / F.sum("v")).alias("repeats"),
+        (F.sum(F.when(F.col("kind") == CONTENT, F.col("again")).otherwise(0.0)) / F.sum("v")).alias("stuffed"),
+    )
+    return whole.join(by, ["doc_id", "same"]).select("doc_id", "prose", "links", "n", "named", "n_known", "mean_npmi", "repeats", "stuffed")
 
 
 def flag(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -171,6 +201,8 @@ def flag(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
     bare = (c("prose") < rules.bare) & (c("named") > 0.5) & (c("n") >= rules.least_words)
     reason = F.when(c("links") >= rules.links, "links")
     reason = reason.when(bare & (c("repeats") >= rules.repeats_bare) | (c("prose") < rules.mixed) & (c("repeats") >= rules.repeats), "repeats")
-    reason = reason.when((c("stuffed") >= rules.stuffed) | (c("prose") < rules.loose) & (c("stuffed") >= rules.stuffed_mixed), "stuffed")
-    reason = reason.when(bare & (c("mean_pmi") < rules.salad), "salad")
+    mean = F.when(c("n_known") >= rules.known_pairs, c("mean_npmi"))
+    strange = F.when(mean < rules.coherent, c("stuffed") * (1 - mean))
+    reason = reason.when((strange >= rules.stuffed) | (c("prose") < rules.loose) & (strange >= rules.stuffed_mixed), "stuffed")
+    reason = reason.when((c("n") >= rules.least_words) & (mean < rules.salad), "salad")
     return scored.select("doc_id", reason.alias("reason")).where("reason is not null")

@@ -35,13 +35,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of keywords, links, menus or product tags."""
-    return spampages.flag(spampages.scores(_documents(spark, d))).select("doc_id")
+    return spampages.flag(spampages.scores(_documents(spark, d))).select("doc_id").distinct()
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the pages that were looked at closely, with the reason of those flagged."""
+    """Scores of all pages of two words or more, with the reason of those flagged."""
     scored = spampages.scores(_documents(spark, d))
-    return scored.join(spampages.flag(scored), "doc_id", "left").select("doc_id", *[F.round(c, 6).alias(c) for c in ("prose", "links", "mean_pmi", "repeats", "stuffed")], "reason")
+    return scored.join(spampages.flag(scored), "doc_id", "left").select("doc_id", *[F.round(c, 6).alias(c) for c in ("prose", "links", "mean_npmi", "repeats", "stuffed")], "reason")
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_scores)}
