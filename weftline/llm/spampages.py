@@ -109,7 +109,7 @@ def read(text: str) -> tuple[list[str], float, float]:
     return tokens, inside / total if total else 0.0, letters / links if links else 0.0
 
 
-PAGE = "doc_id long, same binary, prose double, links double, n int, k array<long>, a array<long>, b array<long>, v array<int>, va array<int>, vb array<int>, kind array<int>"
+PAGE = "same binary, page long, prose double, links double, n int, copies long, k array<long>, a array<long>, b array<long>, v array<int>, va array<int>, vb array<int>, kind array<byte>"
 #: Kinds of pairs: number after number or link after link, which is no collocation; two content words; any other.
 BLANK, CONTENT, OTHER = 0, 1, 2
 
@@ -117,26 +117,25 @@ BLANK, CONTENT, OTHER = 0, 1, 2
 def _pages(batches):
     """Each page with its distinct pairs of neighbouring words: hashes of the pair and of both words, how often, and the kind. A text is read once."""
     for batch in batches:
-        ids, same, prose, links, lengths = [], [], [], [], []
+        kept, prose, links, lengths = [], [], [], []
         number: dict[str, int] = {}
         flat: list[int] = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i, text in enumerate(batch.column("text").to_pylist()):
             tokens, p, q = read(text)
             if len(tokens) > 1:
                 flat.extend([number.setdefault(w, len(number)) for w in tokens])
-                ids.append(i)
-                same.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                kept.append(i)
                 prose.append(p)
                 links.append(q)
                 lengths.append(len(tokens))
         words = list(number)
         key = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-        kinds = np.array([BLANK if w[0] == "\0" else CONTENT if content(w) else OTHER for w in words], np.int32)
+        kinds = np.array([BLANK if w[0] == "\0" else CONTENT if content(w) else OTHER for w in words], np.int8)
         seq = np.array(flat, np.int64)
-        page = np.repeat(np.arange(len(ids)), lengths)
+        page = np.repeat(np.arange(len(kept)), lengths)
         inner = page[1:] == page[:-1]
         page, x, y = page[1:][inner], seq[:-1][inner], seq[1:][inner]
-        pair = (page * len(words) + x) * len(words) + y if len(words) ** 2 * max(1, len(ids)) < 2**62 else None
+        pair = (page * len(words) + x) * len(words) + y if len(words) ** 2 * max(1, len(kept)) < 2**62 else None
         if pair is None:  # too many words in one batch for numbers: the same by sorting
             _, at, v = np.unique(np.stack([page, x, y], 1), axis=0, return_index=True, return_counts=True)
         else:
@@ -146,16 +145,17 @@ def _pages(batches):
         va, vb = (np.bincount(i, v)[i].astype(np.int32) for i in (np.unique(page * max(1, len(words)) + z, return_inverse=True)[1] for z in (x, y)))
         with np.errstate(over="ignore"):
             k = minhash.mix(key[x] * minhash.STEP ^ minhash.mix(key[y]))
-        kind = np.where((kinds[x] == BLANK) & (kinds[y] == BLANK), BLANK, np.where((kinds[x] == CONTENT) & (kinds[y] == CONTENT), CONTENT, OTHER)).astype(np.int32)
-        offsets = pa.array(np.searchsorted(page, np.arange(len(ids) + 1)).astype(np.int32))
+        kind = np.where((kinds[x] == BLANK) & (kinds[y] == BLANK), BLANK, np.where((kinds[x] == CONTENT) & (kinds[y] == CONTENT), CONTENT, OTHER)).astype(np.int8)
+        offsets = pa.array(np.searchsorted(page, np.arange(len(kept) + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (k.view(np.int64), key[x].view(np.int64), key[y].view(np.int64), v.astype(np.int32), va, vb, kind)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(prose, pa.float64()), pa.array(links, pa.float64()), pa.array(lengths, pa.int32()), *lists], names=["doc_id", "same", "prose", "links", "n", "k", "a", "b", "v", "va", "vb", "kind"])
+        of = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([of.column("same"), of.column("page"), pa.array(prose, pa.float64()), pa.array(links, pa.float64()), pa.array(lengths, pa.int32()), of.column("copies"), *lists], names=["same", "page", "prose", "links", "n", "copies", "k", "a", "b", "v", "va", "vb", "kind"])
 
 
 def pair_counts(pages: DataFrame) -> tuple[DataFrame, int]:
     """(k, nk, na, nb) of every pair of neighbours: how often it occurs, its first word stands first and its second one second; and their sum."""
     ws = Workspace(pages.sparkSession, "pairs")
-    one = pages.select(F.explode(F.arrays_zip("k", "a", "b", "v")).alias("x")).select("x.*")
+    one = pages.select("copies", F.explode(F.arrays_zip("k", "a", "b", "v")).alias("x")).select("x.k", "x.a", "x.b", (F.col("x.v") * F.col("copies")).alias("v"))
     two, got = ws.write(one.groupBy("k", "a", "b").agg(F.sum("v").alias("nk")), total=F.sum("nk"))
     # A pair occurs once here, so the commonest word has no more rows than there are words beside it.
     left, right = two.groupBy("a").agg(F.sum("nk").alias("na")), two.groupBy("b").agg(F.sum("nk").alias("nb"))
@@ -165,34 +165,31 @@ def pair_counts(pages: DataFrame) -> tuple[DataFrame, int]:
 def scores(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, prose, links, n, named, n_known, mean_npmi, repeats, stuffed) of every page of two words or more.
 
-    Counts come from all rows of docs (doc_id long, text). mean_npmi is null on a page without pairs of known words. A page adds
-    nothing to the counts that its own mean is taken from, nor do its exact copies. Null and blank texts and null ids give no
-    row; rows that repeat doc_id and text count for the corpus and are scored once; a doc_id with several texts has a row for
-    each; other columns are not read.
+    Counts come from all rows of docs (doc_id long, text); equal texts are read once and counted as often as they come. mean_npmi
+    is null on a page without pairs of known words; neither a page nor its copies add to the counts that its mean is taken from.
+    Null and blank texts and null ids give no row; rows that repeat doc_id and text are scored once; a doc_id with several texts
+    has a row for each; other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "spam")
-    text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pages, _ = ws.write(text.mapInArrow(_pages, PAGE))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("same", F.unhex(F.md5("text")))
+    texts = rows.groupBy("same").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("page", F.monotonically_increasing_id())
+    pages, _ = ws.write(texts.mapInArrow(_pages, PAGE))
     counts, total = pair_counts(pages)
-    copies = pages.groupBy("same").agg(F.count("*").alias("copies"))
-    whole = pages.select("doc_id", "same", "prose", "links", "n").where("doc_id is not null").distinct().join(copies, "same")
-    of = pages.where("doc_id is not null").select("doc_id", "same", "n", F.explode(F.arrays_zip("k", "v", "va", "vb", "kind")).alias("x")).select("doc_id", "same", "n", "x.*")
-    x = of.join(counts, "k").join(copies, "same").withColumn("total", F.lit(total))
-    less = lambda c, v: F.col(c) - F.col(v) * F.col("copies")
-    other, first, second, rest = less("nk", "v"), less("na", "va"), less("nb", "vb"), F.col("total") - (F.col("n") - 1) * F.col("copies")
+    # A page's own share of each count, copies included.
+    mine = lambda c: (F.col(c) * F.col("copies")).alias(c)
+    x = pages.select("page", "copies", mine("n"), F.explode(F.arrays_zip("k", "v", "va", "vb", "kind")).alias("x")).select("page", "n", "x.k", "x.v", "x.va", "x.vb", "x.kind", "copies")
+    x = x.select("page", "n", "k", "v", mine("va"), mine("vb"), mine("v").alias("own"), "kind").join(counts, "k")
+    other, first, second, rest = F.col("nk") - F.col("own"), F.col("na") - F.col("va"), F.col("nb") - F.col("vb"), F.lit(total) - F.col("n")
     known = (F.col("kind") != BLANK) & (first >= rules.known) & (second >= rules.known)
     npmi = lambda n, a, b, total: F.log(n * total / (a * b)) / -F.log((n - 0.5) / total)
     apart = F.greatest(F.when(other > 0, npmi(other, first, second, rest)).otherwise(-1.0), F.lit(-1.0))
-    whole_npmi = npmi(F.col("nk"), F.col("na"), F.col("nb"), F.col("total"))
+    whole_npmi = npmi(F.col("nk"), F.col("na"), F.col("nb"), F.lit(total))
     again = F.when((F.col("v") >= 3) & (F.col("kind") != BLANK), F.col("v") * F.least(F.greatest(whole_npmi, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    by = x.withColumns({"known": F.when(known, F.col("v")).otherwise(0), "apart": F.when(known, F.col("v") * apart), "again": again}).groupBy("doc_id", "same").agg(
-        (F.sum(F.when(F.col("kind") != BLANK, F.col("v")).otherwise(0)) / F.sum("v")).alias("named"),
-        F.sum("known").alias("n_known"),
-        (F.sum("apart") / F.sum("known")).alias("mean_npmi"),
-        (F.sum("again") / F.sum("v")).alias("repeats"),
-        (F.sum(F.when(F.col("kind") == CONTENT, F.col("again")).otherwise(0.0)) / F.sum("v")).alias("stuffed"),
-    )
-    return whole.join(by, ["doc_id", "same"]).select("doc_id", "prose", "links", "n", "named", "n_known", "mean_npmi", "repeats", "stuffed")
+    v, word, pair = F.col("v"), F.col("kind") != BLANK, F.col("kind") == CONTENT
+    each = x.select("page", "v", F.when(word, v).otherwise(0).alias("named"), F.when(known, v).otherwise(0).alias("known"), F.when(known, v * apart).otherwise(0.0).alias("apart"), again.alias("again"), F.when(pair, again).otherwise(0.0).alias("tight"))
+    by = each.groupBy("page").agg((F.sum("named") / F.sum("v")).alias("named"), F.sum("known").alias("n_known"), F.try_divide(F.sum("apart"), F.sum("known")).alias("mean_npmi"), (F.sum("again") / F.sum("v")).alias("repeats"), (F.sum("tight") / F.sum("v")).alias("stuffed"))
+    whole = pages.select("same", "page", "prose", "links", "n").join(by, "page")
+    return rows.where("doc_id is not null").select("doc_id", "same").distinct().join(whole, "same").select("doc_id", "prose", "links", "n", "named", "n_known", "mean_npmi", "repeats", "stuffed")
 
 
 def flag(scored: DataFrame, rules: Rules = Rules()) -> DataFrame:
