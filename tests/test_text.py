@@ -53,7 +53,7 @@ def test_flag(spark, raw, want):
     assert one(spark, text.flag, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [(0.125, "0.12"), (0.285, "0.28"), (0.7, "0.70"), (1.0, "1.00"), (None, None)])
+@pytest.mark.parametrize("raw, want", [(0.125, "0.12"), (0.285, "0.28"), (0.155, "0.15"), (-2.675, "-2.67"), (123456.785, "123456.79"), (float("nan"), None), (0.7, "0.70"), (1.0, "1.00"), (None, None)])
 def test_two_decimals(spark, raw, want):
     assert one(spark, text.two_decimals, raw, "double") == want
 

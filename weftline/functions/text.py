@@ -126,8 +126,20 @@ def flag(c: Column | str) -> Column:
 
 
 def two_decimals(c: Column | str) -> Column:
-    """A number with two decimals, half to even on its shortest decimal digits; null stays null."""
-    return F.bround(F.col(c).cast("decimal(38,20)") if isinstance(c, str) else c.cast("decimal(38,20)"), 2).cast("decimal(38,2)").cast("string")
+    """A number with two decimals, half to even on its exact binary value (0.155 gives 0.15, 0.125 gives 0.12); null stays null.
+
+    The part below one is a multiple of 2^-60, but for what is too small to count, so it is rounded in whole numbers. Not for
+    numbers of 2^53 or more, NaN or infinite ones, which give null.
+    """
+    x = col(c).cast("double")
+    size = F.abs(F.when(F.abs(x) < 2.0**53, x))
+    whole = F.floor(size)
+    hundred = ((size - whole) * 2.0**60).cast("bigint").cast("decimal(20,0)") * 100
+    unit, half = F.lit(2**60).cast("decimal(20,0)"), F.lit(2**59).cast("decimal(20,0)")
+    rest = hundred % unit
+    down = ((hundred - rest) / unit).cast("bigint")
+    cents = whole * 100 + down + F.when((rest > half) | (rest == half) & (down % 2 == 1), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def bullet_block(title: str, items: Column) -> Column:

@@ -104,7 +104,7 @@ def trim_middle(spark, d):
 
 
 def _first_key(j: str) -> str:
-    return "CASE " + " ".join(f"WHEN json_exists({j}, '$.{k}') THEN coalesce({_strip(f'''json_extract_string({j}, '$.{k}')''')}, '')" for k in text.TEXT_KEYS) + " END"
+    return "CASE " + " ".join(f"WHEN json_exists({j}, '$.{k}') THEN coalesce({_strip(f'''json_extract_string({j}, '$.{k}')''')}, '')" for k in ("solution", "answer", "text", "content", "markdown")) + " END"
 
 
 @query(f"""WITH s AS (SELECT row_number() OVER () AS n, row_id, problem_id, question, CASE WHEN json_valid(question) THEN json_type(question) END AS kind FROM seed_records),
@@ -141,34 +141,53 @@ def _responses(spark, d, field: str) -> DataFrame:
     return _read(spark, d, "lineage_rows").select("id", v.alias("response")).where("response is not null").distinct()
 
 
+#: What the SQL expects of headings and header words, kept apart from the tables under test.
+_EXPECTED_HEADINGS = """
+transformation: transformation, mutation, change, what changed
+problem: problem, question, new problem, proposed problem, generated problem
+answer: answer, final answer, result
+solution: solution, proof, full solution
+why it is new: why it is new, why new, why this is new, why sharper
+failure risk: failure risk, risk, risks
+correct: correct, correctness, mathematical correctness
+novelty: novelty, novelty score
+depth: depth, depth score, quality
+seed alignment: seed alignment, alignment
+non stitched: non stitched, nonstitched, not stitched
+solution economy: solution economy, economy
+decision: decision, verdict, accepted
+failure kind: failure kind, failure reason, rejection reason
+notes: notes, reason, judge notes, explanation
+meta: parent problem, parent answer, parent lineage problem, dataset memory, dataset memory stored on the parent row, memory from earlier rows in this run, target iteration, candidates, candidates to refine
+"""
+_EXPECTED_WORDS = {"candidate": "candidate|option|proposal|problem", "refined": "refined|candidate|option|proposal|problem", "judgement": "judgement|judgment|judge|review|evaluation|candidate"}
+_HEADS = "heads(alias, name) AS (VALUES " + ", ".join(f"('{a.strip()}', '{line.split(':')[0]}')" for line in _EXPECTED_HEADINGS.strip().splitlines() for a in line.split(":")[1].split(",")) + ")"
+
+
 def _parse_sql(p: str, field: str, kind: str) -> str:
-    """CTEs p_lines, p_blocks (id, ord, label, block) and p_fields (id, ord, key, value), reading line by line."""
-    words = "(?:" + "|".join(responses.BLOCK_WORDS[kind]) + ")"
-    number = r"(?:#|no\.?|number)?\s*([A-Za-z0-9_.-]+)"
-    styles = [rf"(?i)^\s*={{2,}}\s*{words}\s*{number}\s*={{2,}}\s*$", rf"(?i)^\s*#{{1,6}}\s*{words}\s*{number}\s*:?\s*$", rf"(?i)^\s*\*{{0,2}}\s*{words}\s*{number}\s*\*{{0,2}}\s*:?\s*$", rf"(?i)^\s*{words}\s*{number}\s*[:.)-]?\s*$"]
-    label = "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{s}', 1), '')" for s in styles) + ")"
-    alias = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in text.ALIASES.items()) + " " + " ".join(f"WHEN '{m}' THEN 'meta'" for m in text.META_HEADINGS) + " END"
-    norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+    """CTEs p_blocks (id, ord, label, block) and p_fields (id, ord, key, value): marks are taken off whole lines, names looked up in a table."""
+    named = rf"(?i)^(?:{_EXPECTED_WORDS[kind]})\s*(?:#|no\.?|number)?\s*([a-z0-9_.-]+)\s*[:.)]?$"
+    first = "least(" + ", ".join(f"coalesce(nullif(strpos(bare, '{x}'), 0), 999)" for x in (":", " -", " –", " —")) + ")"
     return rf"""
 {p}_resp AS (SELECT DISTINCT id, json_extract_string(artifacts_json, '$.{field}') AS response FROM lineage_rows WHERE json_valid(artifacts_json) AND json_type(artifacts_json, '$.{field}') = 'VARCHAR'),
-{p}_split AS (SELECT id, unnest(string_split(response, chr(10))) AS line, unnest(range(1, len(string_split(response, chr(10))) + 1)) AS pos FROM {p}_resp),
-{p}_lines AS (SELECT *, sum(CASE WHEN label IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY pos) AS b FROM (SELECT *, {label} AS label FROM {p}_split)),
-{p}_blocks AS (SELECT id, CAST(b - 1 AS INT) AS ord, max(label) AS label, {_strip("coalesce(string_agg(CASE WHEN label IS NULL THEN line END, chr(10) ORDER BY pos), '')")} AS block FROM {p}_lines WHERE b > 0 GROUP BY id, b),
-{p}_clean AS (SELECT id, CAST(b - 1 AS INT) AS ord, pos, line, trim(replace(replace(regexp_replace(trim(line), '^\s*(?:[-*+]|\d+[.)])\s+', ''), '**', ''), '__', '')) AS clean FROM {p}_lines WHERE b > 0 AND label IS NULL),
-{p}_heads AS (SELECT *, coalesce({alias.format(norm("regexp_extract(clean, '^(.{1,60}?)(?:\\s*:|\\s+[-–—])\\s*(.*)$', 1)"))}, CASE WHEN length(rtrim(clean, ':')) <= 60 THEN {alias.format(norm("rtrim(clean, ':')"))} END) AS key,
-  CASE WHEN {alias.format(norm("regexp_extract(clean, '^(.{1,60}?)(?:\\s*:|\\s+[-–—])\\s*(.*)$', 1)"))} IS NOT NULL THEN regexp_extract(clean, '^(.{{1,60}}?)(?:\s*:|\s+[-–—])\s*(.*)$', 2) ELSE '' END AS inline FROM {p}_clean),
-{p}_cut AS (SELECT *, sum(CASE WHEN key = 'meta' THEN 1 ELSE 0 END) OVER (PARTITION BY id, ord ORDER BY pos) AS m, count(key) OVER (PARTITION BY id, ord ORDER BY pos) AS seg, row_number() OVER (PARTITION BY id, ord, key ORDER BY pos) AS nth FROM {p}_heads),
-{p}_seg AS (SELECT id, ord, seg, max(key) AS key, max(CASE WHEN key IS NOT NULL THEN nth END) AS nth, {_strip("string_agg(CASE WHEN key IS NULL THEN line ELSE inline END, chr(10) ORDER BY pos)")} AS value FROM {p}_cut WHERE m = 0 AND seg > 0 GROUP BY id, ord, seg),
-{p}_fields AS (SELECT id, ord, key, value FROM {p}_seg WHERE nth = 1)"""
-
-
-@query(f"WITH {_parse_sql('g', 'raw_generation_response', 'candidate')} SELECT id, ord, label, block FROM g_blocks")
+{p}_split AS (SELECT id, i AS pos, string_split(response, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(response, chr(10))) + 1)) AS i FROM {p}_resp)),
+{p}_lines AS (SELECT *, count(label) OVER (PARTITION BY id ORDER BY pos) AS b FROM (SELECT *, nullif(regexp_extract(trim(line, ' =#*' || chr(9)), '{named}', 1), '') AS label FROM {p}_split)),
+{p}_blocks AS (SELECT id, CAST(b - 1 AS INT) AS ord, max(label) AS label, {_strip("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (label IS NULL), '')")} AS block FROM {p}_lines WHERE b > 0 GROUP BY id, b),
+{p}_bare AS (SELECT id, b, pos, line, trim(regexp_replace(replace(replace(line, '**', ''), '__', ''), '^\s*([-*+]|[0-9]+[.)])\s+', '')) AS bare FROM {p}_lines WHERE b > 0 AND label IS NULL),
+{p}_parts AS (SELECT id, b, pos, line, 1 AS turn, left(bare, {first} - 1) AS name, trim(ltrim(substr(bare, {first}), ' :-–—')) AS rest FROM {p}_bare WHERE {first} BETWEEN 2 AND 61 UNION ALL SELECT id, b, pos, line, 2, rtrim(bare, ':'), '' FROM {p}_bare WHERE length(bare) <= 61),
+{p}_found AS (SELECT id, b, pos, min_by(h.name, turn) AS key, min_by(rest, turn) AS rest FROM {p}_parts x JOIN heads h ON h.alias = trim(regexp_replace(lower(x.name), '[^a-z0-9]+', ' ', 'g')) GROUP BY id, b, pos),
+{p}_seen AS (SELECT b.id, b.b, b.pos, b.line, f.key, f.rest, max(CASE WHEN f.key IS NOT NULL THEN b.pos END) OVER w AS head, max(CASE WHEN f.key = 'meta' THEN 1 ELSE 0 END) OVER w AS over FROM {p}_bare b LEFT JOIN {p}_found f USING (id, b, pos) WINDOW w AS (PARTITION BY b.id, b.b ORDER BY b.pos)),
+{p}_values AS (SELECT id, b, head, max(key) AS key, {_strip("string_agg(CASE WHEN pos = head THEN rest ELSE line END, chr(10) ORDER BY pos)")} AS value FROM {p}_seen WHERE over = 0 AND head IS NOT NULL GROUP BY id, b, head),
+{p}_fields AS (SELECT id, CAST(b - 1 AS INT) AS ord, key, min_by(value, head) AS value FROM {p}_values GROUP BY id, b, key)"""
+
+
+@query(f"WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')} SELECT id, ord, label, block FROM g_blocks")
 def block_split(spark, d):
     """Numbered blocks of the generation responses."""
     return responses.block_table(_responses(spark, d, "raw_generation_response"), "id", "response").select(F.col("key").alias("id"), "ord", "label", "block")
 
 
-@query(f"WITH {_parse_sql('g', 'raw_generation_response', 'candidate')} SELECT id, ord, key AS field, value FROM g_fields")
+@query(f"WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')} SELECT id, ord, key AS field, value FROM g_fields")
 def field_parse(spark, d):
     """Fields of those blocks, one row each."""
     b = responses.block_table(_responses(spark, d, "raw_generation_response"), "id", "response")
@@ -181,17 +200,17 @@ _CAND = """
 {p}_cand AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS INT) AS ord, question, answer, transformation FROM {p}_all WHERE question <> '' AND answer <> '')"""
 
 
-@query(f"WITH {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')} SELECT id, ord, question, answer, transformation FROM g_cand")
+@query(f"WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')} SELECT id, ord, question, answer, transformation FROM g_cand")
 def candidates_complete(spark, d):
     """Candidates with a problem and an answer."""
     return responses.candidate_table(_responses(spark, d, "raw_generation_response"), "id", "response").select(F.col("key").alias("id"), "ord", "question", "answer", "transformation")
 
 
 #: Lines that would read as headings, with which a round trip can't be whole.
-_HEADING = "(?im)^[ \\t*_-]*(?:" + "|".join(sorted(text.ALIASES, key=len, reverse=True)) + ")[*_]*[ \\t]*(?::|[ \\t][-–—]|$)"
+_HEADING = "(?im)^[ \\t*_-]*(?:" + "|".join(sorted((a.strip() for x in _EXPECTED_HEADINGS.strip().splitlines()[:-1] for a in x.split(":")[1].split(",")), key=len, reverse=True)) + ")[*_]*[ \\t]*(?::|[ \\t][-–—]|$)"
 
 
-@query(f"""WITH {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')} SELECT id, ord, question, answer, transformation FROM g_cand
+@query(f"""WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')} SELECT id, ord, question, answer, transformation FROM g_cand
 WHERE id NOT IN (SELECT id FROM g_cand WHERE regexp_matches(question, '{_HEADING}') OR regexp_matches(answer, '{_HEADING}') OR regexp_matches(transformation, '{_HEADING}'))""")
 def format_parse_roundtrip(spark, d):
     """Candidates written as text and read again are the same, where no line of theirs reads as a heading."""
@@ -203,7 +222,7 @@ def format_parse_roundtrip(spark, d):
     return again.select(F.col("key").alias("id"), "ord", "question", "answer", "transformation")
 
 
-@query(f"""WITH {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')}, {_parse_sql('j', 'raw_judgement_response', 'judgement')},
+@query(f"""WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')}, {_parse_sql('j', 'raw_judgement_response', 'judgement')},
 jb AS (SELECT b.id, b.ord, coalesce(max(CASE WHEN f.key = 'correct' THEN f.value END), '') AS c, coalesce(max(CASE WHEN f.key = 'novelty' THEN f.value END), '') AS n, lower(coalesce(max(CASE WHEN f.key = 'decision' THEN f.value END), '')) AS dec,
   coalesce(max(CASE WHEN f.key = 'notes' THEN f.value END), '') AS notes FROM j_blocks b LEFT JOIN j_fields f ON f.id = b.id AND f.ord = b.ord GROUP BY b.id, b.ord),
 nb AS (SELECT id, count(*) AS k FROM j_blocks GROUP BY id),
@@ -219,7 +238,7 @@ def judgement_positional_join(spark, d):
     return judged.select(F.col("key").alias("id"), "ord", "correct", F.try_element_at("scores", F.lit("novelty")).alias("novelty"), "decision", "judge_notes", F.when(F.col("failure_kind").startswith("judge_"), F.col("failure_kind")).alias("missing"))
 
 
-@query(f"""WITH {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')}, {_parse_sql('r', 'raw_refinement_response', 'refined')}, {_CAND.format(p='r')},
+@query(f"""WITH {_HEADS}, {_parse_sql('g', 'raw_generation_response', 'candidate')}, {_CAND.format(p='g')}, {_parse_sql('r', 'raw_refinement_response', 'refined')}, {_CAND.format(p='r')},
 same AS (SELECT id FROM (SELECT id, count(*) AS n FROM g_cand GROUP BY id) JOIN (SELECT id, count(*) AS m FROM r_cand GROUP BY id) USING (id) WHERE n = m)
 SELECT id, ord, question, answer FROM r_cand WHERE id IN (SELECT id FROM same) UNION ALL SELECT id, ord, question, answer FROM g_cand WHERE id NOT IN (SELECT id FROM same)""")
 def refine_substitution(spark, d):
@@ -246,7 +265,7 @@ def _num(k: str) -> str:
 _JUDGED = f"""
 arr AS (SELECT DISTINCT id, artifacts_json AS j FROM lineage_rows WHERE json_valid(artifacts_json) AND json_type(artifacts_json, '$.candidates') = 'ARRAY'),
 el AS (SELECT id, CAST(key AS INT) AS ord, value AS v FROM (SELECT arr.id, e.key, e.value FROM arr, json_each(arr.j, '$.candidates') e) WHERE json_type(value) = 'OBJECT'),
-judged AS (SELECT id, ord, {", ".join(_num(k) for k in selection.SCORES)}, coalesce(json_extract_string(v, '$.correct') = 'true', false) AS correct, coalesce(json_extract_string(v, '$.decision'), '') AS decision,
+judged AS (SELECT id, ord, {", ".join(_num(k) for k in ("novelty", "depth", "seed_alignment", "non_stitched", "solution_economy"))}, coalesce(json_extract_string(v, '$.correct') = 'true', false) AS correct, coalesce(json_extract_string(v, '$.decision'), '') AS decision,
   coalesce(json_extract_string(v, '$.failure_kind'), '') AS failure_kind, coalesce(json_extract_string(v, '$.transformation'), '') AS transformation, coalesce(json_extract_string(v, '$.question'), '') AS question,
   coalesce(json_extract_string(v, '$.judge_notes'), '') AS judge_notes, coalesce(json_extract_string(v, '$.why_new'), '') AS why_new FROM el),
 ranked AS (SELECT *, correct AND novelty >= 0.45 AND depth >= 0.45 AND non_stitched >= 0.70 AND solution_economy >= 0.50 AND decision <> 'reject' AS passes,
