@@ -36,36 +36,40 @@ def resolve_links(df: DataFrame, id_col: str = "id", parent_col: str = "parent_i
     return nodes.join(known, nodes["up"] == known["parent"], "left").select("id", "parent")
 
 
-def climb(ws: Workspace, nodes: DataFrame, sizes: bool = False, concat: bool = False) -> tuple[DataFrame, int]:
+def climb(ws: Workspace, nodes: DataFrame, sums: tuple[str, ...] = (), text: str | None = None, sizes: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Follows `up` from every node to the top, doubling the step each round.
 
-    nodes: (id, up, w) with w a long (added up along the way) or, with concat, a string (joined, topmost first). Returns
-    (id, up, ptr, hops, top, w[, size]) and the number of nodes that never reach a top because they hang on a circle; these
-    have a non-null ptr. size counts a node and all below it. Ends when a round lets no further node arrive: as every
-    ancestor of a node that arrives late arrives earlier, the rest then cannot arrive at all.
+    nodes: (id, up, *sums, text), up null or the id of a node. Returns the nodes that arrive: (id, up, hops, top, *sums, text[, size]) with
+    sums added up and text joined, topmost first, along the way, size counting a node and all below it; those that never do, as they
+    hang on a circle: (id, up, ptr), ptr some steps up; and the number of these. Ends when a round lets no further node arrive: as
+    every ancestor of a node that arrives late arrives earlier, the rest then cannot arrive at all. A round reads and writes only
+    nodes that still wait; they look up where those are that they have come to, and once they are few they are what is sent around.
     """
-    cols = ["id", "up", F.col("up").alias("ptr"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.when(F.col("up").isNull(), F.col("id")).alias("top"), "w"]
-    if sizes:
-        cols.append(F.lit(1).cast("long").alias("size"))
-    waiting = {"left": F.count("ptr")}
-    state, got = ws.write(nodes.select(*cols), **waiting)
-    left = got["left"] or 0
-    while left:
-        at = state.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("hops").alias("t_hops"), F.col("top").alias("t_top"), F.col("w").alias("t_w"))
-        new = state.join(at, state["ptr"] == at["t_id"], "left")
-        joined = F.when(F.col("t_w").isNull(), F.col("w")).when(F.col("w").isNull(), F.col("t_w"))
-        joined = joined.otherwise(F.concat_ws("/", "t_w", "w") if concat else F.col("w") + F.col("t_w"))
-        new = new.select("id", "up", F.col("t_ptr").alias("ptr"), (F.col("hops") + F.coalesce("t_hops", F.lit(0))).alias("hops"), F.coalesce("top", "t_top").alias("top"), joined.alias("w"), *(["size"] if sizes else []))
+    up = F.col("up")
+    cols = ["id", "up", up.alias("ptr"), up.isNotNull().cast("long").alias("hops"), F.when(up.isNull(), F.col("id")).alias("top"), *sums]
+    cols += ([text] if text else []) + ([F.lit(1).cast("long").alias("size")] if sizes else [])
+    state, got = ws.write(nodes.select(*cols), left=F.count("ptr"))
+    parts, left, before = [state], got["left"] or 0, None
+    while left and left != before:
+        waiting = parts[-1].where("ptr is not null")
+        at = ws.together(parts).where("ptr is null").unionByName(waiting)
+        at = at.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "ptr", "hops", "top", *sums, *([text] if text else []))])
+        new = waiting.join(at, F.col("ptr") == F.col("t_id"))
         if sizes:
-            more = state.where("ptr is not null").groupBy(F.col("ptr").alias("m_id")).agg(F.sum("size").alias("more"))
-            new = new.join(more, new["id"] == more["m_id"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("m_id", "more")
-        old, before = state, left
-        state, got = ws.write(new, **waiting)
-        left = got["left"] or 0
-        ws.drop(old)
-        if left == before:
-            break
-    return state, left
+            more = waiting.groupBy(F.col("ptr").alias("m_id")).agg(F.sum("size").alias("more"))
+            new = new.join(more, F.col("id") == F.col("m_id"), "left")
+        added = [(F.col(c) + F.col(f"t_{c}")).alias(c) for c in ("hops", *sums)]
+        joined = [F.concat_ws("/", f"t_{text}", text).alias(text)] if text else []
+        size = [(F.col("size") + F.coalesce("more", F.lit(0))).alias("size")] if sizes else []
+        new, got = ws.write(new.select("id", "up", F.col("t_ptr").alias("ptr"), *added[:1], F.col("t_top").alias("top"), *added[1:], *joined, *size), left=F.count("ptr"))
+        parts.append(new)
+        left, before = got["left"] or 0, left
+    arrived = ws.together(parts).where("ptr is null").drop("ptr")
+    if sizes:
+        # What the nodes below brought in, round by round: each node of a part counted, with those it had counted, for the node it pointed to.
+        brought = ws.together(parts).where("ptr is not null").groupBy(F.col("ptr").alias("b_id")).agg(F.sum("size").alias("brought"))
+        arrived = arrived.drop("size").join(brought, F.col("id") == F.col("b_id"), "left").withColumn("size", 1 + F.coalesce("brought", F.lit(0))).drop("b_id", "brought")
+    return arrived, parts[-1].where("ptr is not null").select("id", "up", "ptr"), left
 
 
 def circles(ws: Workspace, stuck: DataFrame) -> DataFrame:
@@ -97,41 +101,34 @@ def circles(ws: Workspace, stuck: DataFrame) -> DataFrame:
             return least.select("id", "circle")
 
 
-def label(links: DataFrame, chains: bool = True) -> DataFrame:
+def label(links: DataFrame) -> DataFrame:
     """Labels every node of links (id, parent), parent null or the id of a row.
 
     Columns: id, parent, root_id (topmost ancestor; the smallest id on the circle that the way up enters), depth (links up to
     the root or the circle), on_circle, tree_parent (null at roots, on circles and just below circles), top (root of the
     separated tree), size (nodes at and below; null on circles), head and pos (chain and place on it), first (number in
     depth-first order within top, heavy children first: the descendants of v are those with the same top and first in
-    v.first+1 .. v.first+v.size-1). With chains=False the last three are left out.
+    v.first+1 .. v.first+v.size-1). Subtree sizes choose each node's heavy child, heavy links make chains, and root, depth and first
+    come from the chain heads on the way up.
     """
     ws = Workspace(links.sparkSession, "hierarchy")
-    up, stuck = climb(ws, links.select("id", F.col("parent").alias("up"), F.lit(0).cast("long").alias("w")), sizes=True)
-    free = up.where("ptr is null").select("id", F.col("up").alias("parent"), F.col("up").alias("tree_parent"), "top", F.col("top").alias("root_id"), F.col("hops").alias("depth"), F.lit(False).alias("on_circle"), "size")
-    nodes = free
+    free, rest, stuck = climb(ws, links.select("id", F.col("parent").alias("up")), sizes=True)
+    nodes = free.select("id", F.col("up").alias("parent"), F.col("up").alias("tree_parent"), "size", F.lit(None).cast("string").alias("circle"))
     if stuck:
-        rest = up.where("ptr is not null")
         on = circles(ws, rest)
-        ring = rest.join(on, "id").select("id", F.col("up").alias("parent"), F.lit(None).cast("string").alias("tree_parent"), F.col("id").alias("top"), F.col("circle").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("on_circle"), F.lit(None).cast("long").alias("size"))
         enter = on.select(F.col("id").alias("c_id"), "circle")
-        tail = rest.join(on, "id", "left_anti").select("id", "up", "size")
-        tail, _ = ws.write(tail.join(enter, tail["up"] == enter["c_id"], "left").select("id", F.col("up").alias("parent"), F.when(F.col("circle").isNull(), F.col("up")).alias("tree_parent"), "circle", "size"))
-        hang, _ = climb(ws, tail.select("id", F.col("tree_parent").alias("up"), F.lit(0).cast("long").alias("w")))
-        hang = hang.select("id", "top", "hops")
-        tops = tail.where("circle is not null").select(F.col("id").alias("top"), F.col("circle").alias("root_id"))
-        below = tail.join(hang, "id").join(tops, "top").select("id", "parent", "tree_parent", "top", "root_id", (F.col("hops") + 1).alias("depth"), F.lit(False).alias("on_circle"), "size")
-        nodes = free.unionByName(ring).unionByName(below)
-    if not chains:
-        return nodes
-    if stuck:
-        nodes, _ = ws.write(nodes)
+        ring = rest.join(on, "id").select("id", F.col("up").alias("parent"), F.lit(None).cast("string").alias("tree_parent"), F.lit(None).cast("long").alias("size"), "circle")
+        tail = rest.join(on, "id", "left_anti").join(enter, F.col("up") == F.col("c_id"), "left")
+        tail, _ = ws.write(tail.select("id", F.col("up").alias("parent"), F.when(F.col("circle").isNull(), F.col("up")).alias("tree_parent"), "circle"))
+        below, _, _ = climb(ws, tail.select("id", F.col("tree_parent").alias("up")), sizes=True)
+        nodes = nodes.unionByName(ring).unionByName(tail.join(below.select("id", "size"), "id"))
+    nodes, _ = ws.write(nodes)
     kids = nodes.where("tree_parent is not null")
     heavy = kids.groupBy("tree_parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("tree_parent").alias("p"), F.col("h.id").alias("heavy"), F.col("h.size").alias("heavy_size"))
     # Whether a node continues its parent's chain; each node meets its parent's row once. AQE splits the parents with many children.
     marked, _ = ws.write(nodes.join(heavy, nodes["tree_parent"] == heavy["p"], "left").drop("p").withColumn("on_chain", F.coalesce(F.col("heavy") == F.col("id"), F.lit(False))).drop("heavy"))
-    lines, _ = climb(ws, marked.select("id", F.when(F.col("on_chain"), F.col("tree_parent")).alias("up"), F.lit(0).cast("long").alias("w")))
-    lines = lines.select("id", F.col("top").alias("head"), F.col("hops").alias("pos"))
+    lines, _, _ = climb(ws, marked.select("id", F.when(F.col("on_chain"), F.col("tree_parent")).alias("up")))
+    lines, _ = ws.write(lines.select("id", F.col("top").alias("head"), F.col("hops").alias("pos")))
     # Places of light children: running sizes within a part of the children, after the sums of the parts before it.
     parts = max(SIBLING_PARTS, 4 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     light = marked.where("tree_parent is not null and not on_chain").select("id", "tree_parent", "size", "heavy_size", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
@@ -140,29 +137,37 @@ def label(links: DataFrame, chains: bool = True) -> DataFrame:
     run = F.sum("size").over(Window.partitionBy("tree_parent", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
     light = light.withColumn("run", run).join(before, ["tree_parent", "part"]).select("id", "tree_parent", (1 + F.col("heavy_size") + F.coalesce("run", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("offset"))
     at = lines.select(F.col("id").alias("a_id"), F.col("head").alias("a_head"), F.col("pos").alias("a_pos"))
-    light = light.join(at, light["tree_parent"] == at["a_id"]).select("id", F.col("a_head").alias("up"), (F.col("offset") + F.col("a_pos")).alias("w"))
-    heads = marked.where("not on_chain and tree_parent is null").select("id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("w"))
-    starts, _ = climb(ws, light.unionByName(heads))
-    starts = starts.select(F.col("id").alias("head"), F.col("w").alias("start"))
-    out = marked.drop("heavy_size", "on_chain").join(lines.join(starts, "head").select("id", "head", "pos", (F.col("start") + F.col("pos")).alias("first")), "id")
-    return out.select("id", "parent", "root_id", "depth", "on_circle", "tree_parent", "top", "size", "head", "pos", "first")
+    light = light.join(at, light["tree_parent"] == at["a_id"]).select("id", F.col("a_head").alias("up"), (F.col("offset") + F.col("a_pos")).alias("start"), (F.col("a_pos") + 1).alias("deep"), F.lit(None).cast("string").alias("circle"), F.lit(False).alias("on_circle"))
+    # A tree that hangs below a circle is one link deeper; a node on a circle is its own head.
+    ringed = F.col("circle").isNotNull() & F.col("size").isNull()
+    deep = (F.col("circle").isNotNull() & ~ringed).cast("long")
+    heads, _ = ws.write(light.unionByName(marked.where("tree_parent is null").select("id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("start"), deep.alias("deep"), "circle", ringed.alias("on_circle"))))
+    starts, _, _ = climb(ws, heads.select("id", "up", "start", "deep"), sums=("start", "deep"))
+    starts = starts.select(F.col("id").alias("head"), "top", "start", "deep")
+    if stuck:
+        rings = heads.where("circle is not null").select(F.col("id").alias("top"), "circle", "on_circle")
+        starts = starts.join(rings, "top", "left")
+    else:
+        starts = starts.withColumns({"circle": F.lit(None).cast("string"), "on_circle": F.lit(False)})
+    placed = lines.join(starts, "head").select("id", "head", "pos", "top", F.coalesce("circle", "top").alias("root_id"), (F.col("deep") + F.col("pos")).alias("depth"), F.coalesce("on_circle", F.lit(False)).alias("on_circle"), (F.col("start") + F.col("pos")).alias("first"))
+    return marked.select("id", "parent", "tree_parent", "size").join(placed, "id").select("id", "parent", "root_id", "depth", "on_circle", "tree_parent", "top", "size", "head", "pos", "first")
 
 
 def paths(labels: DataFrame) -> DataFrame:
     """(id, path): ids from the root of the separated tree down to the node, joined by '/', chain segment by chain segment.
 
-    A path below a circle starts at the topmost node off the circle; a node on a circle has itself as path.
+    A path below a circle starts at the topmost node off the circle; a node on a circle has itself as path. Segments are put
+    together by doubling along their chain, so that no chain is gathered.
     """
     ws = Workspace(labels.sparkSession, "paths")
     nodes, _ = ws.write(labels.select("id", "head", "pos", "tree_parent"))
-    whole = nodes.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("on")).select(F.col("head").alias("line"), F.col("on.id").alias("ids"))
-    part = nodes.join(whole, nodes["head"] == whole["line"]).select("id", "head", "pos", "tree_parent", F.concat_ws("/", F.slice("ids", F.lit(1), (F.col("pos") + 1).cast("int"))).alias("part"))
-    part, _ = ws.write(part)
-    above = part.select(F.col("id").alias("a_id"), F.col("head").alias("up"), F.col("part").alias("w"))
-    heads = part.where("pos = 0").select("id", "tree_parent")
-    joined, _ = climb(ws, heads.join(above, heads["tree_parent"] == above["a_id"], "left").select("id", "up", "w"), concat=True)
-    lead = joined.select(F.col("id").alias("head"), F.col("w").alias("lead"))
-    return part.join(lead, "head").select("id", F.concat_ws("/", "lead", "part").alias("path"))
+    part, _, _ = climb(ws, nodes.select("id", F.when(F.col("pos") > 0, F.col("tree_parent")).alias("up"), F.col("id").alias("part")), text="part")
+    part, _ = ws.write(part.select("id", F.col("top").alias("head"), "part"))
+    heads = nodes.where("pos = 0").select("id", "tree_parent")
+    above = part.select(F.col("id").alias("a_id"), F.col("head").alias("up"), F.col("part").alias("lead"))
+    lead, _, _ = climb(ws, heads.join(above, F.col("tree_parent") == F.col("a_id"), "left").select("id", "up", F.coalesce("lead", F.lit("")).alias("lead")), text="lead")
+    lead = lead.select(F.col("id").alias("head"), F.regexp_replace("lead", "^/", "").alias("lead"))
+    return part.join(lead, "head").select("id", F.concat_ws("/", F.nullif("lead", F.lit("")), "part").alias("path"))
 
 
 def descendants(labels: DataFrame, wanted: DataFrame | None = None, width: int = 4096) -> DataFrame:
@@ -196,7 +201,7 @@ def ring_descendants(labels: DataFrame) -> DataFrame:
     """
     ws = Workspace(labels.sparkSession, "rings")
     ring, _ = ws.write(labels.where("on_circle").select("id", "parent", "root_id"))
-    place, _ = climb(ws, ring.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("up"), F.lit(0).cast("long").alias("w")))
+    place, _, _ = climb(ws, ring.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("up")))
     place = place.select("id", F.col("top").alias("circle"), F.col("hops").alias("place"))
     length = place.groupBy("circle").agg(F.count("*").alias("length"))
     via = place.select(F.col("id").alias("via"), F.col("place").alias("via_place"))

@@ -26,6 +26,12 @@ def p1_tree(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(hierarchy.paths(labels), "id").select("id", "path", "depth", "root_id", "on_circle", (F.col("size") - 1).alias("n_descendants"))
 
 
+def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Every row off the circles with its chain and its numbers: its descendants are the rows of the same tree numbered from first + 1 to last."""
+    labels = hierarchy.label(hierarchy.resolve_links(lineage(spark, d))).where("not on_circle")
+    return labels.select("id", F.col("top").alias("tree"), "head", "pos", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+
+
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every row with each of its descendants and their distance, off the circles."""
     return hierarchy.descendants(hierarchy.label(hierarchy.resolve_links(lineage(spark, d))))
@@ -64,7 +70,7 @@ def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
     return nested.object_table(nodes, "artifacts_json.candidates[*]", ["index", "question", "answer", "decision", "correct", "failure_kind"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p1_circle_descendants, p1_circles, p3_found, p3_nodes, p3_schema_tables, p3_candidates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_intervals, p1_descendants, p1_circle_descendants, p1_circles, p3_found, p3_nodes, p3_schema_tables, p3_candidates)}
 
 _LINKS = """
 rows_ AS (

@@ -58,6 +58,10 @@ class Workspace:
         back._weftline_path = path
         return back, got
 
+    def together(self, dfs: list[DataFrame]) -> DataFrame:
+        """Tables written here with one schema, as one scan."""
+        return self.spark.read.schema(dfs[0].schema).parquet(*[df._weftline_path for df in dfs])
+
     def drop(self, *dfs: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm
