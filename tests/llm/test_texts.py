@@ -136,3 +136,37 @@ def test_wordy_refusals_and_those_that_name_the_task(t):
 @pytest.mark.parametrize("t", [LONG + "The sum of the angles equals a straight line.", "We cannot do that, so x = 12.", "Unfortunately the answer is 12.", "I cannot give a proof, but x = 12.", "I cannot give more than this: it is 144.", "The number cannot give 3.14.", "With x = 12 I cannot continue."])
 def test_worked_answers_with_declining_words(t):
     assert not pairs.refuses(t)
+
+
+@pytest.mark.parametrize("t, want", [
+    ("1. We count the squares.\n2. We add them.\n3.", "cut"), ("- a point here\n-", "cut"), ("The values are:\n1. two\n2. three.", "whole"), ("-", "none"),
+    ("See this:\n```\nx = 1.\n", "cut"), ("See this:\n```\nx = 1\n```\nDone.", "whole"), ("He said (as we saw. Then it ends.", "weak"),
+    ("<div>We count all. <b>Then we stop.", "weak"), ("<div>We count all. <b>Then</b> we stop.</div>", "whole"), ("<ul><li>One.</li><li>Two.</li></ul> That is all.", "whole"), ("<p>We count.</p><di", "cut"), ("Let a <b and c > d. So it holds.", "whole"), ("First line<br>and second.", "whole"),
+])
+def test_lists_and_markup(t, want):
+    assert c.ending(t) == want
+
+
+def test_tests_that_tell(spark):
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    rows = [(f"l{k}", "s", text(k)[:100]) for k in range(12)] + [(f"e{k}", "s", text(k)[: 150 + 7 * k]) for k in range(4)] + [(f"w{k}", "s", f"It is {k} whole.") for k in range(9)] + [("weak", "s", "ab"), ("w", "t", "ab")]
+    got = {r.id: r.test for r in c.settle(c.judged(spark.createDataFrame(rows, "id string, dataset string, answer string"), {"answer": None})).collect()}
+    assert {got[f"l{k}"] for k in range(12)} == {"limit"} and {got[f"e{k}"] for k in range(4)} == {"ending"} and not any(got[f"w{k}"] for k in range(9)) and got["weak"] is None
+    assert all(r.longer < r.n + 5 for r in c.spikes(c.judged(spark.createDataFrame(rows, "id string, dataset string, answer string"), {"answer": None})).collect())
+
+
+@pytest.mark.parametrize("t, lang", [
+    ("Il numero che cerchiamo è il prodotto di due quadrati e non ha altri divisori della forma.", "it"),
+    ("O número que procuramos não é um quadrado e também não são pares os seus divisores.", "pt"),
+    ("Liczba, której szukamy, nie jest kwadratem i to się sprawdza dla każdy.", "pl"),
+    ("La route est longue et les deux coureurs ne sont pas dans le même village.", "fr"), ("El número de los cuadrados es mayor que el de las filas.", "es"), ("The number of squares is larger than that of the rows.", "en"),
+])
+def test_further_languages(t, lang):
+    from weftline.llm import languages
+
+    assert languages.language(t) == lang
+
+
+@pytest.mark.parametrize("t", ["Mi dispiace, non posso aiutare con questa domanda.", "Desculpe, não posso responder a esta pergunta.", "申し訳ありません。お答えできません。"])
+def test_refusals_in_further_languages(t):
+    assert pairs.refuses(t)

@@ -1,8 +1,8 @@
 """Texts that end before their time: cut at a field's limit or in transfer.
 
-A text is read by a pushdown parser for fences, formulas, brackets and quotations, and its last fragment is held against the ways
-a text may end. What that leaves open is decided by length: values whose length, in characters or bytes, is a spike among
-the unfinished values of their source and column were cut at that limit. Copies of a cut value are cut.
+The leading test is length: an unfinished value whose length, in characters or bytes, is a spike of its source and column was cut
+at that limit. What was cut elsewhere, in transfer, shows by its end: a pushdown parser for fences, formulas, brackets, quotations,
+markup and lists tells what is still open, and the last fragment is held against the ways a text may end. Copies of a cut value are cut.
 """
 
 from __future__ import annotations
@@ -48,6 +48,13 @@ def is_stand_in(text: str | None) -> bool:
     return text is None or bare(text).strip("*_` ").lower() in STAND_INS or bare(text).lower() in STAND_INS
 
 
+#: Elements of markup without an end, or whose end may be left out.
+_OPEN_ENDED = frozenset("area base br col dd dt embed hr img input li link meta option p source tbody td tfoot th thead tr track wbr".split())
+_ELEMENT = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*)\s*(/?)>")
+_HALF_ELEMENT = re.compile(r"<(?:/[A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?)$")
+_CLOSED = re.compile(r"(?:\s*</[A-Za-z][A-Za-z0-9]*\s*>)+$")
+_ITEM = re.compile(r"[ \t]*(?:\d+[.)]|[-*+•])(?=[ \t]|$)")
+_EMPTY_ITEM = re.compile(r"\s*(?:\d+[.)]|[-*+•])\s*")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」"}
 _WRAPS = ('""', "“”", "«»", "„“", "「」", "()", "[]")
 _OPENERS: dict[str, list[str]] = {}
@@ -56,7 +63,7 @@ for _open, _close in _PAIRS.items():
 
 
 def unclosed(text: str) -> list[str]:
-    """What is still open at the end: '```', '\\(', '\\[', '$$', '$', brackets and quotation marks, outermost first.
+    """What is still open at the end: '```', '\\(', '\\[', '$$', '$', brackets, quotation marks and '<name>' of elements, outermost first.
 
     Within fences and formulas only their own end counts; a closing mark that nothing opened is passed over, one that closes an
     outer bracket drops what was left open within.
@@ -101,6 +108,14 @@ def unclosed(text: str) -> list[str]:
             i += 1
         elif one == "$":
             push("$")
+        elif one == "<" and (m := _ELEMENT.match(text, i)):
+            mark = f"<{m[2].lower()}>"
+            if m[1]:
+                if have[mark]:
+                    pop_to(mark)
+            elif not m[4] and m[2].lower() not in _OPEN_ENDED:
+                push(mark)
+            i = m.end() - 1
         elif one == '"':
             if have['"']:
                 pop_to('"')
@@ -117,6 +132,12 @@ def unclosed(text: str) -> list[str]:
     return stack
 
 
+def empty_item(text: str) -> bool:
+    """Whether a text ends in a list item that says nothing, after at least one that does."""
+    above, _, last = text.rpartition("\n")
+    return bool(_EMPTY_ITEM.fullmatch(last)) and any(_ITEM.match(x) and not _EMPTY_ITEM.fullmatch(x) for x in above.rsplit("\n", 3)[-3:])
+
+
 def ending(text: str | None, context: str | None = None) -> str:
     """'whole', 'cut', 'weak' (ends well, but a cut may end so too) or 'none' (stand-ins for nothing) for a text.
 
@@ -137,11 +158,19 @@ def ending(text: str | None, context: str | None = None) -> str:
     if core[-1] in PROOF_SIGNS or PROOF_WORDS.search(core):
         return "whole"
     open_ = unclosed(t)
+    if empty_item(t) or _HALF_ELEMENT.search(t) and "</" in t:
+        return "cut"
+    if t.endswith(">") and (inner := bare(_CLOSED.sub("", t))):
+        t, core = inner, inner.rstrip("*_` ") or inner
     last = bare(_BOUNDARY.split(t)[-1] or t).strip()
     alone = len(last) >= len(t) - 1
     inner = core.rstrip(CLOSERS + " ")
     if inner and inner[-1] in STOPS:
         # A stop within a formula or bracket still open is no end, unless the mark was opened long before.
+        if open_ and open_[-1] == "```":
+            return "cut"
+        if open_ and (open_[-1] in _PAIRS or open_[-1] == '"' or open_[-1][0] == "<"):
+            return "weak"
         return "weak" if open_ and open_[-1] in ("\\(", "\\[", "$", "$$") and not re.search(r"[^\W\d_]{3,}[.!?]", t[-12:]) else "whole"
     if open_ and open_[-1] in ("\\(", "\\[", "$$", "```"):
         return "cut"
@@ -206,33 +235,35 @@ def judged(rows: DataFrame, fields: dict[str, str | None], id_col: str = "id", s
 
 
 def spikes(values: DataFrame, s: Spikes = Spikes()) -> DataFrame:
-    """(source, field, unit, length): spikes of the length histograms, in characters and in bytes."""
+    """(source, field, unit, length, open, n, longer): spikes of the length histograms, in characters and in bytes; longer is how many values of the column are longer."""
     unit = values.select("source", "field", (F.col("state") != "whole").cast("int").alias("open"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"))
     hist = unit.groupBy("source", "field", "u.unit", "u.length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     # One row for each length that occurs: bounded by the lengths, whatever the number of values.
-    around = Window.partitionBy("source", "field", "unit").orderBy("length").rangeBetween(-s.near, s.near)
-    beside = (F.sum("open").over(around) - F.col("open")) / (2 * s.near)
-    return hist.where("length > 0").withColumn("beside", beside).where((F.col("open") >= s.least) & (F.col("open") >= s.share * F.col("n")) & (F.col("open") >= s.over * F.col("beside"))).select("source", "field", "unit", "length")
+    by_length = Window.partitionBy("source", "field", "unit").orderBy("length")
+    beside = (F.sum("open").over(by_length.rangeBetween(-s.near, s.near)) - F.col("open")) / (2 * s.near)
+    longer = F.coalesce(F.sum("n").over(by_length.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    return hist.where("length > 0").withColumns({"beside": beside, "longer": longer}).where((F.col("open") >= s.least) & (F.col("open") >= s.share * F.col("n")) & (F.col("open") >= s.over * F.col("beside"))).select("source", "field", "unit", "length", "open", "n", "longer")
 
 
 def settle(values: DataFrame, s: Spikes = Spikes()) -> DataFrame:
-    """values with `cut`: cut by themselves, or weak at a spike, or equal to a value that is cut in any source, column or row."""
+    """values with `cut` and `test`, the first that tells so: 'limit' (unfinished at a spike), 'ending' (by its end), 'copy' (equal to a value cut in any source, column or row)."""
     ws = Workspace(values.sparkSession, "cut")
     values, n = ws.write(values)
-    at, k = ws.write(spikes(values, s), n=F.count("*"))
-    at = small(at.withColumnRenamed("source", "s").withColumnRenamed("field", "f"), k["n"] or 0)
-    weak = values.where("state = 'weak'")
+    at, k = ws.write(spikes(values, s).select(F.col("source").alias("s"), F.col("field").alias("f"), "unit", "length"), n=F.count("*"))
+    at = small(at, k["n"] or 0)
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f"))
-    chars = weak.join(at.where("unit = 'chars'"), on & (F.col("chars") == F.col("length")), "left_semi")
-    bytes_ = weak.join(at.where("unit = 'bytes'"), on & (F.col("bytes") == F.col("length")), "left_semi")
-    # Only values left open ask for their copies, so the hashes of cut values meet few rows.
-    known = chars.select("same").unionByName(bytes_.select("same")).unionByName(values.where("state = 'cut'").select("same")).distinct()
-    late = weak.join(known, "same", "left_semi").withColumn("cut", F.lit(True))
-    rest = weak.join(known, "same", "left_anti").withColumn("cut", F.lit(False))
-    sure = values.where("state <> 'weak'").withColumn("cut", F.col("state") == "cut")
-    return sure.unionByName(late).unionByName(rest)
+    on &= F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")) == F.col("length")
+    unfinished = values.where("state <> 'whole'")
+    limit = unfinished.join(at, on, "left_semi").withColumn("test", F.lit("limit"))
+    rest = unfinished.join(at, on, "left_anti").unionByName(values.where("state = 'whole'")).withColumn("test", F.when(F.col("state") == "cut", "ending"))
+    told, _ = ws.write(limit.unionByName(rest))
+    # Hashes of cut values are far fewer than values, and a value has one of them once, so none is hot.
+    known = told.where("test is not null").select("same").distinct().withColumn("known", F.lit(True))
+    left = told.where("test is null").join(known, "same", "left").withColumn("test", F.when(F.col("known"), "copy")).drop("known")
+    return told.where("test is not null").unionByName(left).withColumn("cut", F.col("test").isNotNull())
 
 
 def rates(settled: DataFrame) -> DataFrame:
-    """(source, field, n_values, n_cut, share): how often each source cuts each column."""
-    return settled.groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("*")).alias("share"))
+    """(source, field, n_values, n_cut, share, n_limit, n_ending, n_copy): how often each source cuts each column, and which test told so."""
+    by = [F.count_if(F.col("test") == t).alias(f"n_{t}") for t in ("limit", "ending", "copy")]
+    return settled.groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("*")).alias("share"), *by)

@@ -12,11 +12,23 @@ FUNCTION_WORDS = {
     "fr": "le la les un une des du de et ou mais ne pas est sont était être a ont avait avec pour par dans sur sous entre que qui quand où dont ce cet cette ces se sa son ses leur leurs au aux en il elle ils elles on nous vous je si comme donc car chaque tout tous toute plus moins aussi alors après avant sans quel quelle quels combien reste d l s n qu",
     "es": "el la los las un una unos unas de del y o pero no es son era fue ser ha han había con por para en sobre entre que quien cuando donde cuyo cual cuál cuánto cuántos cuántas este esta estos estas se su sus le les al lo como si porque cada todo todos toda más menos también entonces después antes sin a hay e ni",
 }
+#: Function words of further languages that the four above don't have.
+FURTHER_WORDS = {
+    "it": "che di della delle degli dei nel nella nelle sono è perché gli più questo questa anche quando quindi dove ogni cui alla dalla con il lo uno",
+    "pt": "não uma um são é os das dos pela pelo também quando então cada mais isso este ou ao à com em na no nas nos seu sua",
+    "nl": "het een niet zijn wordt worden van voor met aan deze dit maar ook dan naar uit bij hoeveel elke geen wij",
+    "pl": "nie się jest są to że na do przez dla oraz jak który która które każdy tylko ale jego od po więc ile",
+    "sv": "och att det som är av på för inte ett den med till har om vi varje hur många eller",
+}
 _OF: dict[str, set[str]] = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _w in _list.split():
         _OF.setdefault(_w, set()).add(_lang)
 FUNCTION = frozenset(_OF)
+_FURTHER: dict[str, set[str]] = {}
+for _lang, _list in FURTHER_WORDS.items():
+    for _w in set(_list.split()) - FUNCTION:
+        _FURTHER.setdefault(_w, set()).add(_lang)
 
 _MATH = re.compile(r"\\\(.*?\\\)|\\\[.*?\\\]|\$\$.*?\$\$|\$[^$\n]*\$|```.*?```", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,6 +76,14 @@ def counts(text: str) -> tuple[Counter, int]:
 def language(text: str, least: float = 1.5, lead: float = 1.6) -> str | None:
     """The language of a text, None if it has too few telling words or two languages come close."""
     score, n = counts(text)
+    best = max(score.values(), default=0.0)
+    if not any(k in SCRIPTS for k in score):
+        further: Counter = Counter()
+        for w in words(text):
+            for lang in _FURTHER.get(w, ()):
+                further[lang] += 1 / len(_FURTHER[w])
+        # Another language must say more in words of its own than any of the four in all of theirs.
+        score.update({k: v for k, v in further.items() if v >= lead * best})
     if not score:
         return None
     (first, a), *rest = score.most_common(2)

@@ -23,6 +23,9 @@ DECLINES = (
     r"\b(?:kann|darf|möchte|werde|muss)\b.*\b(?:ablehnen|verweigern)\b|\bdabei kann ich nicht\b|\blehne\b.*\bab\b",
     r"\bne (?:peux|puis|suis|veux|pourrai)\b.*\b(?:pas|en mesure)\b|\bm'est interdit\b|\b(?:dois|préfère) (?:décliner|refuser)\b|\bne m'est pas permis\b|\brefuse de\b",
     r"\bno (?:puedo|podré|debo|quiero|voy a)\b.*\b(?:ayudar|responder|resolver|contestar|dar|atender)\w*\b|\bno (?:me )?est[áa] permitido\b|\bdebo (?:rechazar|declinar)\b|\btengo que (?:rechazar|declinar)\b",
+    r"\bnon (?:posso|possiamo|sono in grado|mi è permesso)\b.*\b(?:aiutar\w*|risponder\w*|risolver\w*|dare|fornir\w*)\b|\bdevo (?:rifiutare|declinare)\b",
+    r"\bnão (?:posso|podemos|consigo|me é permitido)\b.*\b(?:ajud\w*|respond\w*|resolv\w*|dar|fornecer)\b|\b(?:devo|preciso) (?:recusar|declinar)\b",
+    r"(?:答え|回答|お手伝い|お答え)(?:することは|は)?(?:でき|いたしかね)(?:ません|ない|ます)|답변(?:할 수 없|드릴 수 없)|\bnie mogę\b.*\b(?:pomóc|odpowiedzieć|rozwiązać)\b|\bkan (?:ik )?niet\b.*\b(?:helpen|beantwoorden)\b",
     r"无法(?:回答|帮助|提供)|不能(?:回答|帮助|提供)|抱歉|не могу (?:помочь|ответить)|вынужден отказаться",
 )
 COURTESIES = (
@@ -31,6 +34,7 @@ COURTESIES = (
     r"^(?:es tut mir leid|tut mir leid|leider|entschuldigung|bitte|vielen dank|danke|vielleicht|gern)\b",
     r"^(?:je suis désolé|désolé|malheureusement|merci|veuillez|n'hésitez|peut-être|pardon)",
     r"^(?:posez|essayez|demandez|prueba|pruebe|intenta|intente|haz|pregunta|stelle|stellen sie|versuche|frage|try|ask)\b",
+    r"^(?:mi dispiace|purtroppo|grazie|prego|desculpe|lamento|infelizmente|obrigad[oa]|przykro mi|przepraszam|helaas|申し訳|すみません|죄송)",
     r"^(?:lo siento|lamentablemente|desafortunadamente|gracias|por favor|perdón|quizás|disculp)",
 )
 _DECLINE = re.compile("|".join(DECLINES), re.I)
