@@ -77,3 +77,18 @@ def test_repeats_nulls_empty_and_clashes(spark):
     df = spark.createDataFrame(rows, "id string, j string, path string")
     assert [(r.id, r.path) for r in n.shred(df, ["j"], elements_only=True).collect()] == [("1", "j[0]")]
     assert n.shred(df.limit(0), ["j"]).count() == 0
+
+
+def test_flat_tables_join_on_their_keys(spark):
+    text = '{"name": "top", "id": 7, "list": [{"v": 1, "ok": true}, [{"v": 2.5, "ok": null}], {"sub": {"deep": "x", "v": null}, "v": 3}]}'
+    df = spark.createDataFrame([("a", text, 1), ("a", text, 2), ("b", "broken", 3), (None, text, 4), ("c", "[]", 5), ("d", None, 6)], "id string, j string, dewey int")
+    rows = n.objects(df, ["j"])
+    kinds = {(r.schema_path, r.name): (r.type, r.n) for r in n.columns_of(rows).collect()}
+    assert kinds == {("j", "name"): ("string", 1), ("j", "id"): ("double", 1), ("j.list[*]", "v"): ("double", 2), ("j.list[*]", "ok"): ("boolean", 1), ("j.list[*][*]", "v"): ("double", 1), ("j.list[*][*]", "ok"): ("string", 1), ("j.list[*].sub", "deep"): ("string", 1), ("j.list[*].sub", "v"): ("string", 1)}
+    tables = n.flat_tables(rows)
+    top, items, subs = tables["j"], tables["j.list[*]"], tables["j.list[*].sub"]
+    assert [(r.name, r.id_, r.parent_dewey) for r in top.collect()] == [("top", 7.0, None)]
+    assert sorted((r.v, r.ok, r.ord) for r in items.collect() if r.ok) == [(1.0, True, 0)] and tables["j.list[*][*]"].first().parent_dewey == top.first().dewey
+    assert items.alias("i").join(top.alias("t"), [items.id == top.id, items.field == top.field, items.parent_dewey == top.dewey]).count() == 2
+    assert subs.join(items, [subs.id == items.id, subs.parent_dewey == items.dewey]).select(subs.deep, items.v).collect() == [("x", 3.0)]
+    assert n.flat_tables(n.objects(df.limit(0), ["j"])) == {}

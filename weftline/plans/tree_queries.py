@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import hierarchy, nested
-from weftline.runtime import prepare
+from weftline.runtime import Workspace, prepare
 
 FIELDS = ["artifacts_json", "scores_json", "memory_json"]
 
@@ -59,18 +59,30 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_schema_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The tables that the nodes fall into, by schema path of their objects, with rows and documents."""
-    nodes = nested.shred(lineage(spark, d), FIELDS, keep=["id", "dewey", "schema_path", "kind"])
-    return nodes.where("kind = 'object'").groupBy("schema_path").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+    """The tables that the objects fall into, by schema path, with rows and documents."""
+    return nested.objects(lineage(spark, d), FIELDS).groupBy("schema_path").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of these tables, with types and how many rows have them."""
+    return nested.columns_of(nested.objects(lineage(spark, d), FIELDS))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each table have a row of the parent's table, by the schema paths of both."""
+    rows, _ = Workspace(spark, "tables").write(nested.objects(lineage(spark, d), FIELDS).select("id", "field", "schema_path", "dewey", "parent_dewey"))
+    up = rows.select("id", "field", F.col("dewey").alias("parent_dewey"), F.col("schema_path").alias("parent_path")).distinct()
+    return rows.distinct().join(up, ["id", "field", "parent_dewey"]).groupBy("parent_path", "schema_path").agg(F.count("*").alias("n"))
 
 
 def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The table of candidates with the label of the array that holds them."""
-    nodes = nested.shred(lineage(spark, d), FIELDS)
-    return nested.object_table(nodes, "artifacts_json.candidates[*]", ["index", "question", "answer", "decision", "correct", "failure_kind"])
+    """The table of candidates, by row and place."""
+    rows = nested.objects(lineage(spark, d), FIELDS).where("schema_path = 'artifacts_json.candidates[*]'")
+    wanted = ("question", "answer", "decision", "correct", "failure_kind")
+    return nested.flat_tables(rows, [{"schema_path": "artifacts_json.candidates[*]", "name": k, "type": "boolean" if k == "correct" else "string"} for k in wanted]).get("artifacts_json.candidates[*]", rows).select("id", "ord", *wanted)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_intervals, p1_descendants, p1_circle_descendants, p1_circles, p3_found, p3_nodes, p3_schema_tables, p3_candidates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_intervals, p1_descendants, p1_circle_descendants, p1_circles, p3_found, p3_nodes, p3_schema_tables, p3_columns, p3_links, p3_candidates)}
 
 _LINKS = """
 rows_ AS (
@@ -88,6 +100,11 @@ roots AS (
     list_position(seen, top) AS enters FROM ends)
 """
 
+_JSON = "f AS (" + " UNION ALL ".join(f"SELECT DISTINCT id, '{f}' AS field, {f} AS t FROM lineage_rows WHERE id IS NOT NULL AND {f} IS NOT NULL" for f in FIELDS) + """),
+g AS (SELECT id, field, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END END AS t FROM f),
+h AS (SELECT * FROM g WHERE t IS NOT NULL AND json_valid(t)),
+x AS (SELECT h.id, h.field, e.fullkey, e.type, e.value FROM h, json_tree(h.t) e)"""
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT r.id, r.root_id FROM roots r JOIN links l ON l.id = r.id WHERE l.parent IS NOT NULL",
     "p1_tree": f"""WITH RECURSIVE {_LINKS},
@@ -97,6 +114,8 @@ SELECT r.id,
   CAST(CASE WHEN r.back THEN r.enters - 1 ELSE r.n END AS BIGINT) AS depth, r.root_id, r.back AND r.enters = 1 AS on_circle,
   CASE WHEN r.back AND r.enters = 1 THEN NULL ELSE coalesce(b.k, 0) END AS n_descendants
 FROM roots r LEFT JOIN below b ON b.id = r.id""",
+    "p3_candidates": f"""WITH {_JSON} SELECT id, regexp_extract(fullkey, '([0-9]+)\\]$', 1)::INT AS ord, json_extract_string(value, '$.question') AS question, json_extract_string(value, '$.answer') AS answer, json_extract_string(value, '$.decision') AS decision, TRY_CAST(json_extract_string(value, '$.correct') AS BOOLEAN) AS correct, json_extract_string(value, '$.failure_kind') AS failure_kind FROM x WHERE field = 'artifacts_json' AND type = 'OBJECT' AND regexp_full_match(fullkey, '\\$\\.candidates\\[[0-9]+\\]')""",
+    "p3_schema_tables": f"WITH {_JSON} SELECT regexp_replace(field || substr(fullkey, 2), '\\[[0-9]+\\]', '[*]', 'g') AS schema_path, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM x WHERE type = 'OBJECT' GROUP BY 1",
     "p3_found": "WITH f AS (" + " UNION ALL ".join(f"SELECT DISTINCT id, '{f}' AS field, {f} AS t FROM lineage_rows WHERE id IS NOT NULL AND {f} IS NOT NULL" for f in FIELDS) + """),
 g AS (SELECT id, field, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END END AS t FROM f),
 h AS (SELECT * FROM g WHERE t IS NOT NULL AND json_valid(t)),
