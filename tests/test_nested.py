@@ -89,6 +89,7 @@ def test_flat_tables_join_on_their_keys(spark):
     top, items, subs = tables["j"], tables["j.list[*]"], tables["j.list[*].sub"]
     assert [(r.name, r.id_, r.parent_dewey) for r in top.collect()] == [("top", 7.0, None)]
     assert sorted((r.v, r.ok, r.ord) for r in items.collect() if r.ok) == [(1.0, True, 0)] and tables["j.list[*][*]"].first().parent_dewey == top.first().dewey
-    assert items.alias("i").join(top.alias("t"), [items.id == top.id, items.field == top.field, items.parent_dewey == top.dewey]).count() == 2
-    assert subs.join(items, [subs.id == items.id, subs.parent_dewey == items.dewey]).select(subs.deep, items.v).collect() == [("x", 3.0)]
+    above = top.select("id", "field", top.dewey.alias("parent_dewey"), "name")
+    assert items.join(above, ["id", "field", "parent_dewey"]).count() == 2
+    assert subs.select("id", "field", "parent_dewey", "deep").join(items.select("id", "field", items.dewey.alias("parent_dewey"), "v"), ["id", "field", "parent_dewey"]).select("deep", "v").collect() == [("x", 3.0)]
     assert n.flat_tables(n.objects(df.limit(0), ["j"])) == {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from weftline.settings import load_config
+from weftline.settings import load_config, same_dataset
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.push_to_hub or cfg.output.push_to_hub:
         target = a.dataset_id or cfg.output.dataset
         into = tables.VersionedTable(spark, target)
-        if target == cfg.input.dataset and into.version() is None:
+        if same_dataset(target, cfg.input.dataset) and into.version() is None:
             into.replace(source)
         tables.publish(into, result.rows, cfg, a.dataset_id)
     print(f"{result.summary['generated_rows']} generated, {result.summary['rejected_steps']} rejected, {len(result.summary['errors'])} errors; rows in {cfg.output.local_path}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,15 +134,25 @@ def two_decimals(c: Column | str) -> Column:
     The part below one is a multiple of 2^-60, but for what is too small to count, so it is rounded in whole numbers. Not for
     numbers of 2^53 or more, NaN or infinite ones, which give null.
     """
-    x = col(c).cast("double")
-    size = F.abs(F.when(F.abs(x) < 2.0**53, x))
-    whole = F.floor(size)
-    hundred = ((size - whole) * 2.0**60).cast("bigint").cast("decimal(20,0)") * 100
     unit, half = F.lit(2**60).cast("decimal(20,0)"), F.lit(2**59).cast("decimal(20,0)")
-    rest = hundred % unit
-    down = ((hundred - rest) / unit).cast("bigint")
-    cents = whole * 100 + down + F.when((rest > half) | (rest == half) & (down % 2 == 1), 1).otherwise(0)
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    def parts(x):
+        size = F.abs(F.when(F.abs(x) < 2.0**53, x))
+        return F.struct((x < 0).alias("below"), F.floor(size).alias("whole"), (((size - F.floor(size)) * 2.0**60).cast("bigint").cast("decimal(20,0)") * 100).alias("part"))
+
+    def divided(p):
+        return F.struct(p["below"].alias("below"), (p["whole"] * 100 + ((p["part"] - p["part"] % unit) / unit).cast("bigint")).alias("cents"), (p["part"] % unit).alias("rest"))
+
+    def rounded(p):
+        return F.struct(p["below"].alias("below"), (p["cents"] + F.when((p["rest"] > half) | (p["rest"] == half) & (p["cents"] % 2 == 1), 1).otherwise(0)).alias("cents"))
+
+    def written(p):
+        return F.concat(F.when(p["below"], "-").otherwise(""), F.floor(p["cents"] / 100).cast("string"), F.lit("."), F.lpad((p["cents"] % 100).cast("string"), 2, "0"))
+
+    one = F.array(col(c).cast("double"))
+    for step in (parts, divided, rounded, written):  # each names what the next one uses several times
+        one = F.transform(one, step)
+    return F.element_at(one, 1)
 
 
 def bullet_block(title: str, items: Column) -> Column:
@@ -170,12 +183,14 @@ def nested_to_json(df, keep: tuple[str, ...] = ()):
     return df.select(*made)
 
 
+#: Parts of messages of errors that no second attempt mends; each tuple must occur as a whole.
+FINAL_ERRORS = (("missing", "api key"), ("authentication",), ("unauthorized",), ("invalid api key",), ("incorrect api key",), ("api key", "invalid"), ("api key", "not provided"), ("api key", "required"), ("api key", "must be set"))
+
+
 def retryable(message: Column | str) -> Column:
     """Whether a call that failed with this message may be tried again: not after errors of authentication or keys."""
     m = F.lower(F.coalesce(col(message), F.lit("")))
-    has = m.contains
-    key = has("api key")
-    stop = (has("missing") & key) | has("authentication") | has("unauthorized") | has("invalid api key") | has("incorrect api key") | (key & (has("invalid") | has("not provided") | has("required") | has("must be set")))
+    stop = reduce(or_, [reduce(and_, [m.contains(part) for part in parts]) for parts in FINAL_ERRORS])
     return ~stop
 
 

@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import embedding_key
+from weftline.functions.text import FINAL_ERRORS
 from weftline.runtime import Workspace
 from weftline.sources.cache import Cache
 
 RESULT = "key string, response string, error string, attempts int"
 #: Most attempts of a call, shortest and longest wait in seconds.
 ATTEMPTS, SHORTEST, LONGEST = 4, 1.0, 30.0
-#: Parts of messages of errors that no second attempt mends; each tuple must occur as a whole.
-FINAL_ERRORS = (("missing", "api key"), ("authentication",), ("unauthorized",), ("invalid api key",), ("incorrect api key",), ("api key", "invalid"), ("api key", "not provided"), ("api key", "required"), ("api key", "must be set"))
 
 
 class Completer(Protocol):

@@ -410,9 +410,11 @@ def response_text_coalesce(spark, d):
 
 @query()
 def json_salvage(spark, d):
-    """JSON out of the three JSON fields, whole or in part."""
-    r = _read(spark, d, "lineage_rows").where("artifacts_json is not null").select("id", "artifacts_json").distinct()
-    return salvage.salvage_column(r, "id", "artifacts_json")
+    """JSON out of each of the three JSON fields, whole or in part."""
+    r = _read(spark, d, "lineage_rows")
+    each = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("artifacts_json", "scores_json", "memory_json")]
+    r = r.select("id", F.explode(F.array(*each)).alias("t")).select(F.struct("id", "t.field").alias("at"), "t.text").where("text is not null").distinct()
+    return salvage.salvage_column(r, "at", "text").select("at.id", "at.field", "json")
 
 
 @query("""SELECT event_id, NOT ((contains(m, 'missing') AND contains(m, 'api key')) OR contains(m, 'authentication') OR contains(m, 'unauthorized') OR contains(m, 'invalid api key') OR contains(m, 'incorrect api key')

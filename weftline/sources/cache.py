@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.runtime import Workspace
 
 COMPLETIONS = "key string, content string, finish_reason string, usage string, t double, key2 string"
 EMBEDDINGS = "key string, embedding array<float>, key2 string"
@@ -27,13 +28,20 @@ class Cache:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def put(self, rows: DataFrame) -> None:
-        """Adds rows whose value is neither null nor blank."""
-        rows.where(self._filled()).withColumn("key2", F.substring("key", 1, 2)).write.mode("append").partitionBy("key2").parquet(self.path)
+        """Adds rows whose value is neither null nor blank, one file for each pair of first digits that occurs."""
+        filled = rows.where(self._filled()).withColumn("key2", F.substring("key", 1, 2))
+        filled.repartition("key2").write.mode("append").partitionBy("key2").parquet(self.path)
 
     def split(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(hits, misses) of requests with a key: hits have the cached columns, of a key cached more than once the greatest row; a blank value is a miss."""
-        found = lookup(self.read().where(self._filled()), [c.split()[0] for c in self.schema.split(", ") if not c.startswith("key")])
-        return requests.join(found, "key"), requests.join(found, "key", "left_anti")
+        """(hits, misses) of requests with a key: hits have the cached columns, of a key cached more than once the greatest row; a blank value is a miss.
+
+        Only folders of first digits that requests have are read, at most 256, and the join is made once for both.
+        """
+        columns = [c.split()[0] for c in self.schema.split(", ") if not c.startswith("key")]
+        folders = [r[0] for r in requests.select(F.substring("key", 1, 2)).distinct().collect()]
+        found = lookup(self.read().where(F.col("key2").isin(folders)).where(self._filled()), columns).withColumn("found", F.lit(True))
+        both, _ = Workspace(self.spark, "cache").write(requests.join(found, "key", "left"))
+        return both.where("found").drop("found"), both.where("found is null").drop("found", *columns)
 
 
 def lookup(cached: DataFrame, columns: list[str]) -> DataFrame:
