@@ -10,6 +10,7 @@ from weftline.settings import load_config, same_dataset
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="weftline")
     sub = p.add_subparsers(dest="command", required=True)
+    # The flags of the command line.
     run = sub.add_parser("run", help="make the next generation")
     run.add_argument("--config", required=True)
     run.add_argument("--num-seeds", type=int)

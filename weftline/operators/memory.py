@@ -8,22 +8,34 @@ from pyspark.sql import functions as F
 from weftline.functions import text
 from weftline.operators.selection import SCORES
 
+#: The wording of memory texts and lessons, so that rows published before and after read alike.
+PREVIOUS = "Previous dataset memory:\n"
+LATEST = "Latest synthesis memory:\n- Parent iteration: "
+STATUS = "\n- New status: "
+USED = "\n- Transformation used: "
+CHANGED = "\n- Why it changed the problem: "
+NOTES = "\n- Judge notes: "
+LISTED = "\n- Scores: "
+AVOID = "Failed directions to avoid next time:\n- "
+TOOK = "Accepted parent "
+LEFT = "Rejected at parent "
+
 
 def row_memory(prior: Column, iteration: Column, accepted: Column, transformation: Column, why_new: Column, notes: Column, scores: Column, failed: Column) -> Column:
     """Memory text of a new row: the prior memory, the latest synthesis, and up to three failed directions."""
     some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
     listed = F.concat_ws(", ", *[F.when(F.map_contains_key(scores, F.lit(k)), F.concat(F.lit(f"{k}="), text.two_decimals(F.try_element_at(scores, F.lit(k))))) for k in SCORES])
-    before = F.when(text.strip(prior) != "", F.concat(F.lit("Previous dataset memory:\n"), text.strip(prior)))
-    latest = F.concat(F.lit("Latest synthesis memory:\n- Parent iteration: "), iteration.cast("string"), F.lit("\n- New status: "), F.when(accepted, "accepted").otherwise("rejected"), F.lit("\n- Transformation used: "), some(transformation, "unspecified"), F.lit("\n- Why it changed the problem: "), some(why_new, "unspecified"), F.lit("\n- Judge notes: "), some(notes, "none"), F.lit("\n- Scores: "), some(listed, "{}"))
-    avoid = F.when(F.size(failed) > 0, F.concat(F.lit("Failed directions to avoid next time:\n- "), F.array_join(failed, "\n- ")))
+    before = F.when(text.strip(prior) != "", F.concat(F.lit(PREVIOUS), text.strip(prior)))
+    latest = F.concat(F.lit(LATEST), iteration.cast("string"), F.lit(STATUS), F.when(accepted, "accepted").otherwise("rejected"), F.lit(USED), some(transformation, "unspecified"), F.lit(CHANGED), some(why_new, "unspecified"), F.lit(NOTES), some(notes, "none"), F.lit(LISTED), some(listed, "{}"))
+    avoid = F.when(F.size(failed) > 0, F.concat(F.lit(AVOID), F.array_join(failed, "\n- ")))
     return F.concat_ws("\n\n", before, latest, avoid)
 
 
 def lesson(role: Column, source_id: Column, iteration: Column, transformation: Column, kind: Column, notes: Column, scores: Column) -> Column:
     """What a run learns from one parent; generated rows count as accepted here even if they did not pass."""
     s = lambda k: text.two_decimals(F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0)))
-    yes = F.concat(F.lit("Accepted parent "), source_id, F.lit(" for iteration "), iteration.cast("string"), F.lit(": "), F.substring(transformation, 1, 220), F.lit(" (depth="), s("depth"), F.lit(", novelty="), s("novelty"), F.lit(")."))
-    no = F.concat(F.lit("Rejected at parent "), source_id, F.lit(" for iteration "), iteration.cast("string"), F.lit(": "), F.coalesce(F.nullif(kind, F.lit("")), F.lit("weak_candidate")), F.lit("; "), F.substring(notes, 1, 240))
+    yes = F.concat(F.lit(TOOK), source_id, F.lit(" for iteration "), iteration.cast("string"), F.lit(": "), F.substring(transformation, 1, 220), F.lit(" (depth="), s("depth"), F.lit(", novelty="), s("novelty"), F.lit(")."))
+    no = F.concat(F.lit(LEFT), source_id, F.lit(" for iteration "), iteration.cast("string"), F.lit(": "), F.coalesce(F.nullif(kind, F.lit("")), F.lit("weak_candidate")), F.lit("; "), F.substring(notes, 1, 240))
     return F.when(role == "generated", yes).otherwise(no)
 
 

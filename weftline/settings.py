@@ -17,6 +17,7 @@ def _within(name: str, value: float, low: float, high: float = float("inf")) ->
         raise ValueError(f"{name} must be within {low} and {high}, not {value}")
 
 
+# Sections, names, defaults and ranges of the configuration, which files written for it must find.
 @dataclass
 class Input:
     dataset: str
